@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import arc_warc, mixing, reply_trees, token_store
+from gleanery.llm import arc_warc, hyperminhash, mixing, reply_trees, suffix_dedup, token_store
 from gleanery.storage import Tables
 
 #: Production parameters.
@@ -29,6 +29,14 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 200).drop("kept")
+
+
+def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), 75)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_store.read_blocks(token_store.write_tokens(spark, docs, tokenizer_path(), VOCABULARY, END_ID))
@@ -51,6 +59,8 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_hyperminhash": op6_hyperminhash,
     "op7_token_store": op7_token_store,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op10_reply_trees": op10_reply_trees,
