@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import arc_warc, hyperminhash, mixing, reply_trees, suffix_dedup, token_store, toxicity
+from gleanery.llm import arc_warc, decontaminate, html_crf, hyperminhash, imatch, mixing, reply_trees, suffix_dedup, token_store, toxicity
 from gleanery.storage import Tables
 
 #: Production parameters.
@@ -29,6 +29,10 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
+def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +43,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 200).drop("kept")
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), 75)
 
@@ -56,6 +64,10 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.page_records(arc_warc.read_warc(warcs))
 
 
+def op9_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -63,14 +75,24 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.read_back(reply_trees.chat_conversations(rows.union(more)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
+    "op2_html_crf": op2_html_crf,
     "op3_toxicity_grammar": op3_toxicity_grammar,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_imatch": op5_imatch,
     "op6_hyperminhash": op6_hyperminhash,
     "op7_token_store": op7_token_store,
     "op8_arc_to_warc": op8_arc_to_warc,
+    "op9_cgk_decontamination": op9_cgk_decontamination,
     "op10_reply_trees": op10_reply_trees,
+    "pipeline": pipeline,
 }
 
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
