@@ -99,6 +99,20 @@ _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFG
     ((('0x' || substr(sha1(p), 5 * (i // 4)::INT + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '')"""
 
 ORACLE: dict[str, str] = {
+    "op6_hyperminhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+        e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        r(d, o) AS (SELECT DISTINCT x, x FROM e UNION SELECT r.d, e.y FROM r JOIN e ON e.x = r.o),
+        m AS (SELECT d, min(o) AS o FROM r GROUP BY d)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.o, w.doc_id) AS component_id, w.doc_id = coalesce(m.o, w.doc_id) AS kept
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.d = w.doc_id""",
     "op8_arc_to_warc": f"""
         WITH r AS (SELECT page_id, p, {_BASE32} AS d FROM (SELECT page_id, coalesce(html, '') AS p FROM pages)),
              m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM r)
