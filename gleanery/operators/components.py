@@ -24,6 +24,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _chained(edges: DataFrame) -> DataFrame:
+    """Nodes that keep the edges (a larger, b smaller) from being stars around the smallest node."""
+    lows = edges.groupBy("a").agg(F.count("*").alias("n"))
+    return lows.filter("n > 1").select("a").union(lows.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a"))
+
+
 def connected_components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node that is reachable.
 
@@ -31,14 +37,12 @@ def connected_components(edges: DataFrame, tables: Tables | None = None) -> Data
     without an edge isn't listed.
     """
     tables = tables or Tables(edges.sparkSession, "components")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     edges = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, seen = tables.write(edges), None
-    while (is_now := mark(now)) != seen:
-        seen = is_now
-        big = tables.write(_star(now, True))
-        then = tables.write(_star(big, False))
-        tables.drop(now, big)
+    now = tables.write(edges)
+    # Done when no edge ends in a node that has a smaller neighbour, and no node has two: all are stars.
+    while not _chained(now).isEmpty():
+        then = tables.write(_star(_star(now, True), False))
+        tables.drop(now)
         now = then
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
