@@ -11,6 +11,13 @@ from pyspark.sql import types as T
 from gleanery.config import US, NearConfig, QualityConfig
 
 _LOW = 0xFFFFFFFF
+# Reason texts; predicates look for "blown out", "black" and "clipped" in them.
+ONE_COLOUR = "Nearly one colour: covered lens or accidental press"
+BLOWN_OUT = "Almost entirely blown out"
+BLACK = "Almost entirely black"
+FACE_SOFT = "Face is out of focus"
+SOFT = "Out of focus or motion-blurred"
+CLIPPED = "Severely clipped exposure"
 
 
 def fnv1a64_hex(text: Column) -> Column:
@@ -146,13 +153,13 @@ def classify_quality(m: str = "metrics", config: QualityConfig = QualityConfig()
     """struct<tier, reasons> of a metrics struct."""
     c = lambda name: F.col(f"{m}.{name}")
     one = lambda tier, text: F.struct(F.lit(tier).alias("tier"), F.array(F.lit(text)).alias("reasons"))
-    focus = F.when(c("subject_sharpness") < config.bad_sharpness, F.when(c("subject_is_face"), F.lit("Face is out of focus")).otherwise(F.lit("Out of focus or motion-blurred")))
-    exposure = F.when((c("clipped_highlights") >= config.bad_clip) & (c("clipped_shadows") >= config.bad_clip), F.lit("Severely clipped exposure"))
+    focus = F.when(c("subject_sharpness") < config.bad_sharpness, F.when(c("subject_is_face"), F.lit(FACE_SOFT)).otherwise(F.lit(SOFT)))
+    exposure = F.when((c("clipped_highlights") >= config.bad_clip) & (c("clipped_shadows") >= config.bad_clip), F.lit(CLIPPED))
     soft = F.array_compact(F.array(focus, exposure))
     return (
-        F.when(c("frame_uniformity") >= config.broken_uniformity, one("obviouslyBroken", "Nearly one colour: covered lens or accidental press"))
-        .when(c("clipped_highlights") >= config.broken_clip, one("obviouslyBroken", "Almost entirely blown out"))
-        .when(c("clipped_shadows") >= config.broken_clip, one("obviouslyBroken", "Almost entirely black"))
+        F.when(c("frame_uniformity") >= config.broken_uniformity, one("obviouslyBroken", ONE_COLOUR))
+        .when(c("clipped_highlights") >= config.broken_clip, one("obviouslyBroken", BLOWN_OUT))
+        .when(c("clipped_shadows") >= config.broken_clip, one("obviouslyBroken", BLACK))
         .when(F.size(soft) > 0, F.struct(F.lit("probablyBad").alias("tier"), soft.alias("reasons")))
         .otherwise(F.struct(F.lit("ok").alias("tier"), F.array().cast("array<string>").alias("reasons")))
     )

@@ -9,6 +9,12 @@ from gleanery.functions.predicates import quality_is_bad
 from gleanery.functions.scalars import confidence, exposure_score
 
 
+# Reasons of a rank.
+SHARPEST, EXPOSED, FACE, LOOKS = "Sharpest subject", "Best exposed", "Best face", "Strongest composition"
+EDITED, UNEDITED, KEEP_ALL, UNUSABLE = "Edited version", "Unedited original", "Keep all", "Unusable"
+USER_PICK, AUTO_PICK = "Picked by you at capture", "Picked at capture"
+
+
 def min_max(value: Column, w) -> Column:
     """(v - min) / (max - min) over the group; 1 where all are equal."""
     lo, hi = F.min(value).over(w), F.max(value).over(w)
@@ -31,17 +37,17 @@ def rank_members(members: DataFrame) -> DataFrame:
     top = lambda c: c == F.max(c).over(w)
     one = lambda cond, text: F.array_compact(F.array(F.when(cond, F.lit(text))))
     best_sharp, best_light = (sharp >= 0) & top(sharp), (light >= 0) & top(light)
-    bad = F.when(quality_is_bad(), F.coalesce(F.try_element_at("quality.reasons", F.lit(1)), F.lit("Unusable")))
-    measured = F.array_compact(F.array(F.when(best_sharp, F.lit("Sharpest subject")).when(best_light, F.lit("Best exposed")), bad))
+    bad = F.when(quality_is_bad(), F.coalesce(F.try_element_at("quality.reasons", F.lit(1)), F.lit(UNUSABLE)))
+    measured = F.array_compact(F.array(F.when(best_sharp, F.lit(SHARPEST)).when(best_light, F.lit(EXPOSED)), bad))
     none = F.array().cast("array<string>")
     k = F.col("kind")
     rungs = [
         (n == 1, F.lit(1.0), none),
-        (k == "versions", F.col("is_edited_version").cast("double"), F.array(F.when(F.col("is_edited_version"), F.lit("Edited version")).otherwise(F.lit("Unedited original")))),
-        (k == "bracket", F.lit(1.0), F.array(F.lit("Keep all"))),
-        (any_user | any_auto, picked.cast("double"), F.when(picked, F.array(F.when(any_user, F.lit("Picked by you at capture")).otherwise(F.lit("Picked at capture")))).otherwise(none)),
-        (all_have(face), min_max(face, w), one(top(face), "Best face")),
-        (all_have(looks), min_max(looks, w), one(top(looks), "Strongest composition")),
+        (k == "versions", F.col("is_edited_version").cast("double"), F.array(F.when(F.col("is_edited_version"), F.lit(EDITED)).otherwise(F.lit(UNEDITED)))),
+        (k == "bracket", F.lit(1.0), F.array(F.lit(KEEP_ALL))),
+        (any_user | any_auto, picked.cast("double"), F.when(picked, F.array(F.when(any_user, F.lit(USER_PICK)).otherwise(F.lit(AUTO_PICK)))).otherwise(none)),
+        (all_have(face), min_max(face, w), one(top(face), FACE)),
+        (all_have(looks), min_max(looks, w), one(top(looks), LOOKS)),
     ]
     total, reasons = 0.7 * min_max(sharp, w) + 0.3 * min_max(light, w), measured
     for fits, t, r in reversed(rungs):
