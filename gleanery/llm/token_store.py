@@ -14,6 +14,7 @@ by the hash of their text; null ``doc_id`` comes first; an empty table gives an
 from __future__ import annotations
 
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from gleanery.storage import Tables
 
 BLOCKS = "bucket int, block int, bits int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 DOCS = "bucket int, block int, doc_id long, at long, n_tokens long, ids_crc32 long"
-#: Fixed value: the tokenizer's first special token, used only to part words that are encoded together.
-MARK, MARK_ID = "<|startoftext|>", 49406
+
+# Marks that often follow a word, and capitals whose lower case depends on what follows or is two letters.
+MARKS, ODD_CASE = frozenset(",.;:!?"), frozenset("Σİ")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -56,41 +58,64 @@ class WordEncoder:
     bounded: it starts anew when it holds ``most`` of them.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.known: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w and "|>" not in w]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(MARK.join(part), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == MARK_ID)
+        # For lower-case words of letters, on which the full preparation has no effect: the same merges without it.
+        self.light = Tokenizer.from_file(path)
+        self.light.normalizer = normalizers.Sequence([])
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (self.parting,) = self.tokenizer.encode("0", add_special_tokens=False).ids
+        marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
+        self.fixed: dict[str, bytes] = {"": b""} | marks
+        self.known = dict(self.fixed)
+
+    def learn(self, words: set[str]) -> None:
+        """A word of letters, with or without one mark after it, is known by its lower-case letters and the mark: the
+        tokenizer lowers all letters and parts runs of letters from other characters. Others are encoded as they are."""
+        parts, known = {}, self.known
+        for w in words:
+            letters, mark = (w[:-1], w[-1]) if w[-1] in MARKS else (w, "")
+            if letters.isalpha() and (letters.isascii() or (is_normalized("NFC", letters) and not ODD_CASE.intersection(letters))):
+                parts[w] = (letters.lower(), mark)
+        letters = {p for p, _ in parts.values()}.difference(known)
+        self._encode(self.light, list(letters))
+        self._encode(self.tokenizer, list(words.difference(parts, known)))
+        known.update((w, known[p] + known[mark]) for w, (p, mark) in parts.items())
+
+    def _encode(self, tokenizer, words: list[str]) -> None:
+        """Words without a 0 go 200 to a string, with the digit as parting word: digits are always tokens of their own."""
+        plain = [w for w in words if "0" not in w and "<|" not in w]
+        rows = [plain[i : i + 200] for i in range(0, len(plain), 200)]
+        for part, made in zip(rows, tokenizer.encode_batch_fast([" 0 ".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, "<u4")
+            cut = np.flatnonzero(ids == self.parting)
             if len(cut) != len(part) - 1:
-                raise ValueError("a word holds the parting token")
-            ids = ids.astype("<u4")
-            self.known.update(zip(part, (x.tobytes() for x in np.split(ids, cut)), strict=True))
-            for w in part[1:]:
-                self.known[w] = self.known[w][4:]
-        for w in set(words).difference(plain):
-            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                raise ValueError("the parting word stands inside a word")
+            raw, first, last = ids.tobytes(), [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, first, last)), strict=True))
+        odd = [w for w in words if "0" in w or "<|" in w]
+        self.known.update(zip(odd, (np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         if len(self.known) > self.most:
-            self.known = {"": b""}
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) if split else set()
-        new.difference_update(self.known)
-        self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self.known = dict(self.fixed)
+        known, rows, new = self.known, [], set()
+        for text in texts:
+            words = (text or "").replace("\n", " ").split(" ")
+            found = list(map(known.get, words))
+            if None in found:
+                new.update(w for w, x in zip(words, found, strict=True) if x is None)
+                found = None
+            rows.append((words, found))
+        self.learn(new)
+        return [b"".join(found or map(known.__getitem__, words)) for words, found in rows]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
