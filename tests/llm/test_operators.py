@@ -216,6 +216,29 @@ def test_near_duplicates_in_a_hot_group(spark):
     test_near_duplicates_match_brute_force(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_short_near_copies_inside_many_longer_texts(spark):
+    """Two texts that are almost wholly a passage which hundreds of longer texts also hold are one component."""
+    r = random.Random(1)
+    words = lambda k: [f"w{r.randrange(10**7)}" for _ in range(k)]
+    rows = []
+    for k in range(4):
+        passage = words(12)
+        rows += [(1000 * k + i, " ".join([*words(25), *passage, *words(25)])) for i in range(500)]
+        rows += [(1000 * k + 900, " ".join(passage)), (1000 * k + 901, " ".join([*passage, "end"]))]
+    got = {x.doc_id: x.component_id for x in hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 1000 % 900 if d % 1000 >= 900 else d for d, _ in rows}
+
+
+def test_every_pair_of_families_in_a_bucket_is_compared():
+    r = np.random.default_rng(4)
+    draw = lambda k: np.unique(r.integers(0, 2**64, k, dtype=np.uint64))
+    passage, rows = draw(200), []
+    for k in range(60):
+        own = passage if k in (20, 40) else np.unique(np.concatenate((passage, draw(900))))
+        rows.append({"nk": bytes([k]), "family": bytes([k if k % 2 or k in (20, 40) else 0]), "main": bytes([0]), "n": len(own), "regs": hyperminhash.sketch(own).tobytes()})
+    assert {frozenset(x) for x in hyperminhash.kin_inside(rows, 75)} == {frozenset((bytes([20]), bytes([40])))}
+
+
 def test_hyperminhash_estimates():
     r = np.random.default_rng(1)
     off = []
