@@ -5,11 +5,13 @@ each capped at ``most`` times its source, the excess dealt out again by weight (
 r = target / size gives every document floor(r) whole copies for certain. For the fraction f that is left, documents are
 ranked by (u / (1 - u)) / (p / (1 - p)), the random odds of a document over its inclusion odds, where u is a hash and
 p its inclusion probability, proportional to ``weight_col`` (alike without one); the lowest ranks are taken until the
-source's words are reached, and one closing document, the one whose size is nearest to what is missing, is added if that
-lessens the gap. Documents are taken whole.
+source's words are reached. Documents longer than the words that are still missing are set aside and the cut is made again
+among the rest, round by round, until none fits; then one closing document, the one whose size is nearest to what is
+missing, is added if that lessens the gap. Documents are taken whole.
 
 The ranks of one source are summed in two steps, over buckets of the rank and inside a bucket, so that a source with a
-third of all rows is spread over many tasks. What is dealt out at the end is one row per source: a cut and a closing key.
+third of all rows is spread over many tasks. What is dealt out at the end is one row per source: its cuts, one for each
+round, and a closing key.
 
 Edge cases: null or blank text has size 0 and takes 0; null source is a source, last; rows with equal doc_id and equal
 text are taken together; an empty table gives an empty result; other columns pass through
@@ -18,6 +20,8 @@ untouched, but for columns that have the names of the five made ones, which are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +62,22 @@ def _odds(p: Column) -> Column:
     return p / (1 - p)
 
 
+def _cuts(ranked: DataFrame) -> DataFrame:
+    """(s, start, cut, limit, got) per source: the last key up to which all words are at most ``limit``, and those words."""
+    sums = ranked.groupBy("s", "bucket").agg(F.sum("words").alias("sum"))
+    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("s").alias("t"), F.col("bucket").alias("b"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    ranked = ranked.join(sums, F.col("s").eqNullSafe(F.col("t")) & (F.col("bucket") == F.col("b")))
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("s", "bucket").orderBy("order"))
+    fits = ranked.withColumn("upto", upto).filter("upto <= limit")
+    return fits.groupBy("s").agg(F.first("start").alias("start"), F.max("order").alias("cut"), F.first("limit").alias("limit"), F.max("upto").alias("got"))
+
+
+def _taken(rounds: Column, order: Column, size: Column) -> Column:
+    """Whether some round took the document: its key is in the round's range and its size within the round's limit."""
+    return F.coalesce(F.exists(rounds, lambda r: (order >= r["start"]) & (order <= r["cut"]) & (size <= r["limit"])), F.lit(False))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, weight_col: str | None = None) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target, mix_copies and mix_taken."""
     tables = Tables(docs.sparkSession, "mix")
@@ -81,23 +101,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     ranked = rank(sizes.join(per, F.col("src").eqNullSafe(F.col("source"))).filter("part > 0 and size > 0"), "u", "wish").drop("source")
     level = F.col("rank") * _odds(F.least(F.greatest("part", F.lit(1e-12)), F.lit(1 - 1e-12)))  # near the odds of u, so nearly even buckets
     count = F.ceil(F.col("n") / BUCKET_ROWS)
-    ranked = ranked.withColumn("bucket", F.floor(level / (1 + level) * count)).select("src", "doc_id", "size", "rank", "missing", "bucket")
-    sums = ranked.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).select(F.col("src").alias("s"), F.col("bucket").alias("b"), "before")
-    ranked = ranked.join(sums, F.col("src").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    inside = Window.partitionBy("src", "bucket").orderBy("rank", "doc_id")  # equal keys are peers and go together
-    ranked = ranked.withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    ranked = tables.write(ranked.select("src", "doc_id", "size", "rank", "missing", "upto"))
-    order = F.struct("rank", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"))
-    taken = F.col("upto") <= F.col("missing")
-    cuts = ranked.groupBy("src").agg(F.max(F.when(taken, order)).alias("cut"), F.coalesce(F.max(F.when(taken, F.col("upto"))), F.lit(0)).alias("got"), F.first("missing").alias("want"))
-    cuts = cuts.withColumnRenamed("src", "s")
-    rest = ranked.join(cuts, F.col("src").eqNullSafe(F.col("s"))).filter(F.col("upto") > F.col("missing"))
-    off = F.abs(F.col("want") - F.col("got") - F.col("size"))
-    closing = rest.filter(off < F.col("want") - F.col("got")).groupBy("src").agg(F.min(F.struct(off.alias("off"), order.alias("key"))).alias("last"))
-    cuts = cuts.join(closing, F.col("s").eqNullSafe(F.col("src")), "left").select("s", "cut", F.col("last.key").alias("closing"))
-    plan = tables.write(per.join(cuts, F.col("src").eqNullSafe(F.col("s")), "left").select("src", "source_size", "target", "whole", "part", "mean_wish", "cut", "closing"))
+    ranked = ranked.withColumn("bucket", F.floor(level / (1 + level) * count)).select("src", "doc_id", "size", "rank", "bucket")
+    order = F.struct("rank", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id")).alias("order")
+    # Rows with equal keys are peers and go together: size is a row's, words are all peers'.
+    ranked = tables.write(ranked.groupBy("src", order, "bucket").agg(F.max("size").alias("size"), F.sum("size").alias("words")))
+    rounds, wanted = [], per.filter("part > 0").select(F.col("src").alias("s"), F.col("missing").alias("limit"), F.lit(None).cast(ranked.schema["order"].dataType).alias("cut"))
+    same = F.col("src").eqNullSafe(F.col("s"))
+    while True:
+        later = ranked.join(wanted, same).filter("(cut is null or order > cut) and words <= limit")
+        starts = tables.write(later.groupBy("s").agg(F.min("order").alias("start"), F.first("limit").alias("limit")))
+        if starts.isEmpty():
+            break
+        now = tables.write(_cuts(ranked.join(starts, same).filter("order >= start and size <= limit")))
+        rounds.append(now)
+        wanted = now.select("s", (F.col("limit") - F.col("got")).alias("limit"), "cut")
+    every = per.select("src", "missing").withColumn("rounds", F.array().cast("array<struct<start:struct<rank:double,doc_id:bigint>,cut:struct<rank:double,doc_id:bigint>,limit:double>>")).withColumn("got", F.lit(0))
+    if rounds:
+        made = reduce(DataFrame.union, rounds).groupBy("s").agg(F.collect_list(F.struct("start", "cut", "limit")).alias("rounds"), F.sum("got").alias("got"))
+        every = per.select("src", "missing").join(made, same, "left").drop("s")
+    every = tables.write(every.select(F.col("src").alias("s"), "rounds", (F.col("missing") - F.coalesce("got", F.lit(0))).alias("gap")))
+    off = F.abs(F.col("gap") - F.col("words"))
+    closing = ranked.join(every, same).filter(~_taken(F.col("rounds"), F.col("order"), F.col("size"))).filter(off < F.col("gap")).groupBy("src").agg(F.min(F.struct(off.alias("off"), "order")).alias("last"))
+    every = every.join(closing, same, "left").select("s", "rounds", F.col("last.order").alias("closing"))
+    plan = tables.write(per.join(every, same, "left").select("src", "source_size", "target", "whole", "part", "mean_wish", "rounds", "closing"))
 
     return _apply(marked, plan, [c for c in docs.columns if c not in OUT])
 
@@ -108,7 +134,7 @@ def _apply(marked: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
     out = marked.join(plan, c("src").eqNullSafe(F.col("source")))
     p = F.least(F.greatest(c("part") * F.when(c("mean_wish") > 0, F.col("__wish") / c("mean_wish")).otherwise(F.lit(1.0)), F.lit(1e-12)), F.lit(1 - 1e-12))
     order = F.struct((_odds(F.col("__u")) / _odds(p)).alias("rank"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"))
-    extra = (c("part") > 0) & (F.col("__size") > 0) & (F.coalesce(order <= c("cut"), F.lit(False)) | F.coalesce(order == c("closing"), F.lit(False)))
+    extra = (c("part") > 0) & (F.col("__size") > 0) & (_taken(c("rounds"), order, F.col("__size")) | F.coalesce(order == c("closing"), F.lit(False)))
     copies = F.when(F.col("__size") > 0, c("whole") + F.when(extra, 1).otherwise(0)).otherwise(F.lit(0))
     made = (F.col("__size"), c("source_size"), c("target"), copies.cast("long"), (copies * F.col("__size")).cast("long"))
     return out.select(*columns, *[x.alias(n) for x, n in zip(made, OUT, strict=True)])

@@ -81,6 +81,16 @@ def test_mixing_reaches_a_skewed_target(spark):
     assert all(abs(r.k - r.t) <= 1 for r in got)
 
 
+def test_mixing_passes_over_documents_that_do_not_fit(spark):
+    """30 words are wanted of one 60-word and forty 1-word documents."""
+    rows = [(0, "w " * 60, "a", "", 0), *((i, "w", "a", "", 0) for i in range(1, 41))]
+    rows += [*((i, "w w w", "b", "", 0) for i in range(100, 110)), *((i, "w w", "c", "", 0) for i in range(200, 210))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for seed in range(4):
+        got = mixing.mix(docs, seed=seed).groupBy("source").agg(F.first("mix_target").alias("t"), F.sum("mix_taken").alias("k")).collect()
+        assert {r.source: r.k for r in got} == {"a": 30, "b": 60, "c": 60} and all(r.k == pytest.approx(r.t) for r in got)
+
+
 def test_crf_keeps_the_article_and_drops_the_rest(spark):
     page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body><header><p>Site</p></header>
       <nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div>
