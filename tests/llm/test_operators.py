@@ -141,18 +141,33 @@ def test_toxicity_learns_words_and_reads_clauses(spark):
 def test_repeats_in_contexts_match_counts():
     r = random.Random(0)
     for _ in range(40):
-        size = r.choice([3, 5, 8])
+        size = r.choice([3, 5, 8, 13])
         texts = [bytes(r.choice(b"ab\x00") for _ in range(r.randint(size, 40))) for _ in range(r.randint(1, 12))]
         count = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
         want = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - size + 1) if count[t[i : i + size]] > 1}
-        assert {(k, i) for k, a, b in suffix_dedup.repeats_in_contexts(texts, size) for i in range(a, b + 1)} == want
+        found = zip(*(x.tolist() for x in suffix_dedup.repeats_in_contexts(texts, np.ones(len(texts), np.int64), size)), strict=True)
+        assert {(k, i) for k, a, b in found for i in range(a, b + 1)} == want
+    many = suffix_dedup.repeats_in_contexts([b"abcdefgh", b"hgfedcba"], np.array([2, 1]), 6)
+    assert [x.tolist() for x in many] == [[0], [0], [2]]  # what occurs twice as a whole
+
+
+def test_prefix_values_match_the_sorted_rotations():
+    r = random.Random(1)
+    for length in (5, 9, 16):
+        s = bytes(r.choice(b"ab") for _ in range(200)) + b"\xff"
+        order, prefix = suffix_dedup.shared_prefixes(np.frombuffer(s, np.uint8), length)
+        turned = [(s + s)[i : i + length] for i in order.tolist()]
+        assert turned == sorted(turned)
+        for k in range(1, len(turned)):
+            same = next((i for i in range(length) if turned[k][i] != turned[k - 1][i]), -1)
+            assert prefix[k] == same
 
 
 @pytest.mark.parametrize("most", [None, 0])
 def test_repeated_bytes_go(spark, docs, most, monkeypatch):
     if most is not None:
-        monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", most)  # all by digest
-    docs = docs.union(spark.createDataFrame([(2000, "ab" * 400, None, "", 0), (2001, "z" * 300, None, "", 0)], SCHEMA))
+        monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", most)  # all contexts are dealt anew
+    docs = docs.union(spark.createDataFrame([(2000, "ab" * 400, None, "", 0), (2001, "z" * 300, None, "", 0), (2002, "abc" * 100 + "lone end", None, "", 0), (None, "q" * 150 + "ab" * 150, None, "", 0)], SCHEMA))
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     count = Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
