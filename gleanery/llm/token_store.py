@@ -14,10 +14,12 @@ by the hash of their text; null ``doc_id`` comes first; an empty table gives an
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from gleanery.storage import Tables
 BLOCKS = "bucket int, block int, bits int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 DOCS = "bucket int, block int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
+#: Bytes of texts encoded at once.
+CHUNK_BYTES = 8 << 20
 # Marks that often follow a word, and capitals whose lower case depends on what follows or is two letters.
 MARKS, ODD_CASE = frozenset(",.;:!?"), frozenset("Σİ")
 
@@ -54,11 +58,12 @@ class WordEncoder:
     """Encodes whole texts with the tokenizers library, once per distinct word.
 
     The tokenizer splits at white space before it merges, so a text's ids are its words' ids in order. Words are cut at
-    spaces and newlines only; rarer white space stays inside a word and is left to the tokenizer. The memory of words is
-    bounded: it starts anew when it holds ``most`` of them.
+    spaces and newlines only; rarer white space stays inside a word and is left to the tokenizer. Arrow numbers the
+    distinct words of a chunk of texts, and a chunk's ids are gathered from the words' ids at once. The memory of words is
+    bounded: once it holds ``most`` of them a new one begins, and the old one serves until the next change.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -71,21 +76,21 @@ class WordEncoder:
         self.light.normalizer = normalizers.Sequence([])
         self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         (self.parting,) = self.tokenizer.encode("0", add_special_tokens=False).ids
-        marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
-        self.fixed: dict[str, bytes] = {"": b""} | marks
-        self.known = dict(self.fixed)
+        self.fixed = {"": b""} | {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
+        self.known, self.old = dict(self.fixed), {}
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """A word of letters, with or without one mark after it, is known by its lower-case letters and the mark: the
         tokenizer lowers all letters and parts runs of letters from other characters. Others are encoded as they are."""
-        parts, known = {}, self.known
+        parts, known, old = {}, self.known, self.old
+        known.update((w, old[w]) for w in words if w in old)
+        words = [w for w in words if w not in known] if old else words
         for w in words:
             letters, mark = (w[:-1], w[-1]) if w[-1] in MARKS else (w, "")
             if letters.isalpha() and (letters.isascii() or (is_normalized("NFC", letters) and not ODD_CASE.intersection(letters))):
                 parts[w] = (letters.lower(), mark)
-        letters = {p for p, _ in parts.values()}.difference(known)
-        self._encode(self.light, list(letters))
-        self._encode(self.tokenizer, list(words.difference(parts, known)))
+        self._encode(self.light, list({p for p, _ in parts.values() if p not in known}))
+        self._encode(self.tokenizer, [w for w in words if w not in parts and w not in known])
         known.update((w, known[p] + known[mark]) for w, (p, mark) in parts.items())
 
     def _encode(self, tokenizer, words: list[str]) -> None:
@@ -102,20 +107,34 @@ class WordEncoder:
         odd = [w for w in words if "0" in w or "<|" in w]
         self.known.update(zip(odd, (np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with ``end_id`` after it, and the position after each text's last id."""
         if len(self.known) > self.most:
-            self.known = dict(self.fixed)
-        known, rows, new = self.known, [], set()
-        for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            found = list(map(known.get, words))
-            if None in found:
-                new.update(w for w, x in zip(words, found, strict=True) if x is None)
-                found = None
-            rows.append((words, found))
-        self.learn(new)
-        return [b"".join(found or map(known.__getitem__, words)) for words, found in rows]
+            self.known, self.old = dict(self.fixed), self.known
+        known, cut = self.known, pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn([w for w in words if w not in known])
+        each = [known[w] for w in words]
+        each.append(np.array([end_id], "<u4").tobytes())
+        ids, sizes = np.frombuffer(b"".join(each), "<u4"), np.array([len(x) for x in each]) // 4
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        number = np.insert(coded.indices.to_numpy(), ends, len(words))
+        size = sizes[number]
+        after = np.cumsum(size)
+        place = np.repeat((np.cumsum(sizes) - sizes)[number] - (after - size), size)
+        place += np.arange(len(place))
+        return ids[place], after[ends + np.arange(len(ends))]
+
+
+def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``most`` bytes of ``column``; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        stop = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + most, "right")))
+        yield batch.slice(first, stop - first)
+        first = stop
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -130,33 +149,34 @@ def _encoder(path: str) -> WordEncoder:
 def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, bits: int, block_ids: int = 1 << 16) -> DataFrame:
     """Blocks of the format above for every row of ``docs(doc_id, text)``, one shuffle of the texts by id range."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.withColumn("bucket", range_bucket(docs, "doc_id"))
+    docs = docs.withColumn("bucket", range_bucket(docs, "doc_id", 1000))
     n = max(1, docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
-        enc, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        bucket, block, ids, ends, parts, size = None, 0, [], [], [], 0
+        enc = _encoder(tokenizer)
+        bucket, block, keys, ends, parts, size = None, 0, [], [], [], 0
 
         def out():
-            packed = pack(np.frombuffer(b"".join(parts), "<u4"), bits)
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "block": pa.array([block], pa.int32()), "bits": pa.array([bits], pa.int32()), "n_ids": pa.array([size], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "ends": pa.array([ends], pa.list_(pa.int64())), "payload": pa.array([packed], pa.binary())})
+            packed = pack(np.concatenate(parts), bits)
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "block": pa.array([block], pa.int32()), "bits": pa.array([bits], pa.int32()), "n_ids": pa.array([size], pa.int64()), "doc_ids": pa.array([keys], pa.list_(pa.int64())), "ends": pa.array([ends], pa.list_(pa.int64())), "payload": pa.array([packed], pa.binary())})
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                keys, buckets = part.column("doc_id").to_pylist(), part.column("bucket").to_pylist()
-                for key, b, raw in zip(keys, buckets, enc.encode(part.column("text").to_pylist()), strict=True):
-                    if ids and (b != bucket or size >= block_ids):
+            for part in chunks(batch, "text"):
+                ids, after = enc.encode(part.column("text"), end_id)
+                begin = 0
+                for key, b, stop in zip(part.column("doc_id").to_pylist(), part.column("bucket").to_pylist(), after.tolist(), strict=True):
+                    if keys and (b != bucket or size >= block_ids):
                         yield out()
-                        block, ids, ends, parts, size = block + 1, [], [], [], 0
+                        block, keys, ends, parts, size = block + 1, [], [], [], 0
                     if b != bucket:
                         bucket, block = b, 0
-                    ids.append(key)
-                    parts += (raw, end)
-                    size += len(raw) // 4 + 1
+                    keys.append(key)
+                    parts.append(ids[begin:stop])
+                    size += stop - begin
                     ends.append(size)
-        if ids:
+                    begin = stop
+        if keys:
             yield out()
 
     return ordered.mapInArrow(run, BLOCKS)
