@@ -63,7 +63,7 @@ class WordEncoder:
     bounded: once it holds ``most`` of them a new one begins, and the old one serves until the next change.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
