@@ -1,18 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text's words become classes (insult, threat, target, negation, report, quote mark, clause end, other). Five small
-transducers rewrite the class string of a clause one after the other; their composition is one deterministic machine:
+transducers rewrite the class string one after the other; their composition is one deterministic machine whose arcs carry
+weights:
 
-- report: what follows a verb of saying or stands in quote marks is only reported;
+- report: what follows a verb of saying in its clause, or stands in quote marks, is only reported; a quotation ends at the
+  next mark, or after ``QUOTED`` clauses if none comes;
 - negation: an insult or threat within two words of a negation is negated;
 - target: an insult within four words after a target, or up to two before one, is aimed;
 - threat: a threat with a target within three words is aimed;
-- insult: the marks that are left are the clause's matches.
+- weigh: the marks that are left are the clause's matches, each with the weight of its kind.
 
-A document's score is logistic in the numbers of matches of each kind, not in isolated words. The insult lexicon (words
-and word beginnings of 3 to 6 letters) and the weights are fitted to a bounded sample of labelled documents, at most
-``max_rows`` by the hash of their id; near copies in the sample count once. Without usable labels the fixed seed words
-and prior weights stand.
+A clause's score is the sum of its arcs' weights. A document's score is logistic in the score of its strongest clause and
+in how many clauses have a match, never in numbers of words. The insult lexicon (words and word beginnings of 3 to 6
+letters) and the weights are fitted to a bounded sample of labelled documents, at most ``max_rows`` by the hash of their
+id; of near copies in the sample the one with the least hash counts. The strongest clause of a document depends on the
+weights, so fit and choice take turns, ``TURNS`` times. Without usable labels the fixed seed words and prior weights stand.
+Equal tables give equal models, however their rows are dealt.
 
 Edge cases: null and empty texts have no matches and get the score of such texts; labels that are null or name no
 document are ignored, repeated ones count once; repeated rows get equal scores; an empty table gives an empty result;
@@ -21,7 +25,6 @@ other columns pass through, but for score and predicted, which are replaced.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -43,33 +46,35 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
 #: What the composed machine writes: besides the classes, the kinds of matches.
 AIMED, AIMED_AFTER, AIMED_THREAT, NEGATED, REPORTED = range(8, 13)
 KINDS = (INSULT, AIMED, AIMED_AFTER, AIMED_THREAT, THREAT, NEGATED, REPORTED)
-#: Weights before any label is seen: the intercept, then KINDS.
-PRIOR = np.array([-3.0, 3.0, 4.0, 1.0, 4.0, 0.5, 0.5, 0.5])
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”«»]")
-CLAUSE_ENDS, QUOTES = ".!?;:\n", "\"“”«»"
+#: Weights before any label is seen: the intercept, KINDS, and the doublings of clauses with a match.
+PRIOR = np.array([-3.0, 3.0, 4.0, 1.0, 4.0, 0.5, 0.5, 0.5, 0.5])
+CLAUSE_ENDS, QUOTES = ".!?;:\n", "\"“”„«»"
+TOKEN = re.compile(rf"[^\W\d_]+|[{CLAUSE_ENDS}{QUOTES}]")
 LENGTHS = range(3, 7)
+#: Clauses after which an open quotation ends, and rounds of choosing clauses and fitting weights.
+QUOTED, TURNS = 4, 4
 
 
 @dataclass
 class Transducer:
-    """Deterministic: ``step[state, symbol] -> (symbol out, next state)``; missing steps copy the symbol and stay."""
+    """Deterministic: ``step[state, symbol] -> (symbol out, next state, weight)``; missing steps copy the symbol, stay and weigh nothing."""
 
     start: tuple | int
     step: dict = field(default_factory=dict)
 
     def move(self, state, symbol):
-        return self.step.get((state, symbol), (symbol, state))
+        return self.step.get((state, symbol), (symbol, state, 0.0))
 
 
 def compose(a: Transducer, b: Transducer, symbols: range = range(13)) -> Transducer:
-    """The machine that feeds a's output to b; only states that can be reached are made."""
+    """The machine that feeds a's output to b; weights add up; only states that can be reached are made."""
     out, todo, seen = Transducer((a.start, b.start)), [(a.start, b.start)], {(a.start, b.start)}
     while todo:
         sa, sb = todo.pop()
         for x in symbols:
-            y, na = a.move(sa, x)
-            z, nb = b.move(sb, y)
-            out.step[(sa, sb), x] = (z, (na, nb))
+            y, na, wa = a.move(sa, x)
+            z, nb, wb = b.move(sb, y)
+            out.step[(sa, sb), x] = (z, (na, nb), wa + wb)
             if (na, nb) not in seen:
                 seen.add((na, nb))
                 todo.append((na, nb))
@@ -82,40 +87,41 @@ def _window(opens: int, reach: int, rewrites: dict[int, int]) -> Transducer:
     for left in range(reach + 1):
         for x in range(13):
             y = rewrites.get(x, x) if left else x
-            t.step[left, x] = (y, reach if x == opens else 0 if x == END else max(0, left - 1))
+            t.step[left, x] = (y, reach if x == opens else 0 if x == END else max(0, left - 1), 0.0)
     return t
 
 
 def _report() -> Transducer:
-    """States: 0 plain, 1 after a verb of saying, 2 in quote marks."""
+    """States: 0 plain, -1 after a verb of saying, k in quote marks with k clauses to go."""
     t = Transducer(0)
-    for s in (1, 2):
-        t.step |= {(s, x): (REPORTED, s) for x in (INSULT, THREAT)}
-    t.step |= {(0, REPORT): (REPORT, 1), (0, QUOTE): (QUOTE, 2), (1, QUOTE): (QUOTE, 2), (2, QUOTE): (QUOTE, 0), (1, END): (END, 0)}
+    for s in (-1, *range(1, QUOTED + 1)):
+        t.step |= {(s, x): (REPORTED, s, 0.0) for x in (INSULT, THREAT)}
+        t.step[s, END] = (END, max(0, s - 1), 0.0)
+        t.step[s, QUOTE] = (QUOTE, QUOTED if s < 0 else 0, 0.0)
+    t.step |= {(0, REPORT): (REPORT, -1, 0.0), (0, QUOTE): (QUOTE, QUOTED, 0.0)}
     return t
 
 
-def grammar() -> Transducer:
+def grammar(weights: np.ndarray = PRIOR) -> Transducer:
     negation = _window(NEGATION, 2, {INSULT: NEGATED, THREAT: NEGATED})
     target = compose(_window(TARGET, 4, {INSULT: AIMED}), _window(INSULT, 2, {TARGET: AIMED_AFTER}))
     threat = _window(THREAT, 3, {TARGET: AIMED_THREAT, AIMED_AFTER: AIMED_THREAT})
-    insult = Transducer(0, {(0, x): (OTHER, 0) for x in (TARGET, NEGATION, REPORT, QUOTE)})
+    weigh = Transducer(0, {(0, x): (OTHER, 0, 0.0) for x in (TARGET, NEGATION, REPORT, QUOTE)} | {(0, k): (k, 0, float(w)) for k, w in zip(KINDS, weights[1:], strict=False)})
     out = _report()
-    for t in (negation, target, threat, insult):
+    for t in (negation, target, threat, weigh):
         out = compose(out, t)
     return out
 
 
 class Machine:
-    """The grammar as two arrays, and the counts of matches in a text."""
+    """The grammar as arrays, run over the clauses of a text."""
 
-    def __init__(self, insults: dict[str, int]):
-        made = grammar()
+    def __init__(self, insults: dict[str, int], weights: np.ndarray = PRIOR):
+        made = grammar(weights)
         states = sorted({s for s, _ in made.step}, key=repr)
         number = {s: i for i, s in enumerate(states)}
         self.start = number[made.start]
-        self.next = [[number[made.step[s, x][1]] for x in range(8)] for s in states]
-        self.out = [[made.step[s, x][0] for x in range(8)] for s in states]
+        self.arcs = [[(made.step[s, x][0], number[made.step[s, x][1]], made.step[s, x][2]) for x in range(8)] for s in states]
         self.insults = insults
         self.fixed = {w: c for c, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws.split()}
         self.fixed |= dict.fromkeys(QUOTES, QUOTE) | dict.fromkeys(CLAUSE_ENDS, END)
@@ -128,23 +134,26 @@ class Machine:
         hit = word in self.insults or any(f"^{word[:n]}" in self.insults for n in LENGTHS if n <= len(word))
         return INSULT if hit else OTHER
 
-    def counts(self, text: str | None) -> list[int]:
-        """Matches of each of KINDS."""
+    def clauses(self, text: str | None) -> list[tuple[float, list[int]]]:
+        """Weight and matches (of KINDS) of every clause that has a match."""
         if len(self.known) > 300_000:
             self.known = {}
         tokens, known = TOKEN.findall((text or "").lower()), self.known
-        for w in set(tokens).difference(known):
+        for w in {w for w in tokens if w not in known}:
             known[w] = self.class_of(w)
         classes = [known[w] for w in tokens]
-        found = dict.fromkeys(KINDS, 0)
+        out: list[tuple[float, list[int]]] = []
         if INSULT in classes or THREAT in classes:
-            state, nxt, out = self.start, self.next, self.out
-            for x in classes:
-                y = out[state][x]
-                if y in found:
-                    found[y] += 1
-                state = nxt[state][x]
-        return [found[k] for k in KINDS]
+            state, weight, own, arcs = self.start, 0.0, [], self.arcs
+            for x in (*classes, END):
+                y, state, w = arcs[state][x]
+                if y in KINDS:
+                    own.append(y)
+                    weight += w
+                elif y == END and own:
+                    out.append((weight, own))
+                    weight, own = 0.0, []
+        return out
 
 
 @dataclass
@@ -157,29 +166,35 @@ class Model:
         return {"insults": self.insults, "weights": self.weights, "machine": None}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        self.machine = self.machine or Machine(self.insults)
-        return logistic(features([self.machine.counts(t) for t in texts]), self.weights)
+        self.machine = self.machine or Machine(self.insults, self.weights)
+        found = [self.machine.clauses(t) for t in texts]
+        strongest = np.array([max((w for w, _ in f), default=0.0) for f in found])
+        many = np.log2(1 + np.array([len(f) for f in found], float))
+        return logistic(self.weights[0] + strongest + self.weights[-1] * many)
 
 
-def features(counts: list[list[int]]) -> np.ndarray:
-    x = np.log2(1 + np.array(counts, float).reshape(-1, len(KINDS)))
-    return np.hstack([np.ones((len(x), 1)), x])
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+def kind_counts(own: list[int]) -> tuple[int, ...]:
+    return tuple(own.count(k) for k in KINDS)
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 0.5) -> np.ndarray:
-    """Newton steps on the logistic loss, pulled towards PRIOR."""
+def fit_weights(docs: list[list[tuple[int, ...]]], y: np.ndarray, many: np.ndarray, pull: float = 0.5) -> np.ndarray:
+    """Weights from documents as lists of clauses (kind_counts), in turns: choose the strongest clauses, then take Newton
+    steps on the logistic loss of ``many`` such documents each, pulled towards PRIOR."""
     w = PRIOR.copy()
-    for _ in range(50):
-        p = logistic(x, w)
-        gradient = x.T @ (p - y) + pull * (w - PRIOR)
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + pull * np.eye(len(w)), gradient)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
+    for _ in range(TURNS):
+        chosen = [max(d, key=lambda c: (float(np.dot(c, w[1:-1])), c), default=(0,) * len(KINDS)) for d in docs]
+        x = np.array([[1, *c, np.log2(1 + len(d))] for c, d in zip(chosen, docs, strict=True)], float).reshape(-1, len(PRIOR))
+        for _ in range(50):
+            p = logistic(x @ w)
+            gradient = x.T @ (many * (p - y)) + pull * (w - PRIOR)
+            step = np.linalg.solve((x.T * (many * p * (1 - p))) @ x + pull * np.eye(len(w)), gradient)
+            w = w - np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
     return w
 
 
@@ -195,8 +210,11 @@ def _near_copy_keys(text: str | None) -> list[int]:
     return [int((hashes * np.uint64(m)).min() >> np.uint64(1)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def _lexicon(sample: DataFrame, most: int = 400) -> dict[str, int]:
-    """Words and word beginnings that mark toxic documents, by document counts and a likelihood-ratio test."""
+def _lexicon(sample: DataFrame) -> dict[str, int]:
+    """Words and word beginnings that mark toxic documents, by document counts and a likelihood-ratio test.
+
+    At least four toxic documents of the sample hold each, so the sample bounds their number.
+    """
 
     def count(batches):
         seen, bad, n = Counter(), Counter(), [0, 0]
@@ -210,19 +228,18 @@ def _lexicon(sample: DataFrame, most: int = 400) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*(bad[x] for x in names[:-1]), n[1]], pa.int64()), pa.array([*(seen[x] for x in names[:-1]), n[0]], pa.int64())], names=["term", "bad", "good"])
 
     counts = sample.select("text", "toxic").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rows = counts.filter("term = '' or (bad >= 4 and bad > 2 * good)").orderBy(F.desc(F.col("bad") - F.col("good")), "term").limit(20_000).collect()
-    all_bad, all_good = next(((r.bad, r.good) for r in rows if not r.term), (0, 0))
-    scored = []
-    for r in rows:
-        if not r.term or r.term in CLAUSE_ENDS + QUOTES:
-            continue
-        odds = (r.bad + 0.5) * (all_good + 1) / ((r.good + 0.5) * (all_bad + 1))
-        n, k = all_bad + all_good, r.bad + r.good
-        parts = ((r.bad, k * all_bad / n), (r.good, k * all_good / n), (all_bad - r.bad, (n - k) * all_bad / n), (all_good - r.good, (n - k) * all_good / n))
-        ratio = 2 * sum(o * math.log(o / e) for o, e in parts if o > 0)
-        if odds >= 80 and ratio >= 30:
-            scored.append((-ratio, r.term))
-    return {t: 1 for _, t in sorted(scored)[:most]} | dict.fromkeys(INSULTS.split(), 1)
+    counts = counts.filter("term = '' or (bad >= 4 and bad > 2 * good)").persist()
+    all_bad, all_good = next(((r.bad, r.good) for r in counts.filter("term = ''").groupBy().agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()))
+    if not all_bad or not all_good:
+        counts.unpersist()
+        return dict.fromkeys(INSULTS.split(), 1)
+    bad, good, n = F.col("bad"), F.col("good"), all_bad + all_good
+    cells = ((bad, (bad + good) * all_bad / n), (good, (bad + good) * all_good / n), (all_bad - bad, (n - bad - good) * all_bad / n), (all_good - good, (n - bad - good) * all_good / n))
+    ratio = sum((F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0)) for o, e in cells), F.lit(0.0)) * 2
+    odds = (bad + 0.5) * (all_good + 1) / ((good + 0.5) * (all_bad + 1))
+    rows = counts.filter("term <> ''").filter((odds >= 80) & (ratio >= 30)).select("term").collect()
+    counts.unpersist()
+    return {t: 1 for t in sorted(r.term for r in rows) if t not in CLAUSE_ENDS + QUOTES} | dict.fromkeys(INSULTS.split(), 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
@@ -238,23 +255,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
 
     sample = texts.mapInArrow(key, "text string, toxic int, k0 long, k1 long, k2 long")
     for k in ("k0", "k1", "k2"):
-        sample = sample.dropDuplicates([k])
-    sample = sample.persist()
+        least = F.min(F.struct(F.xxhash64("text"), "text", "toxic", "k0", "k1", "k2")).alias("x")
+        sample = sample.groupBy(F.col(k).alias("same")).agg(least).select("x.text", "x.toxic", "x.k0", "x.k1", "x.k2")
+    sample = sample.select("text", "toxic").persist()
     try:
         insults = _lexicon(sample)
 
         def count(batches):
             machine = Machine(insults)
             for batch in batches:
-                made = [machine.counts(t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int64())), batch.column("toxic")], names=["counts", "toxic"])
+                made = [sorted(kind_counts(own) for _, own in machine.clauses(t)) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.list_(pa.int64()))), batch.column("toxic")], names=["clauses", "toxic"])
 
-        rows = sample.select("text", "toxic").mapInArrow(count, "counts array<long>, toxic int").groupBy("counts", "toxic").count().collect()
+        rows = sample.mapInArrow(count, "clauses array<array<long>>, toxic int").groupBy("clauses", "toxic").count().collect()
     finally:
         sample.unpersist()
-    many = [r["count"] for r in rows]
-    x = np.repeat(features([r.counts for r in rows]), many, axis=0) if rows else features([])
-    return Model(insults, fit_weights(x, np.repeat([float(r.toxic) for r in rows], many)))
+    rows = sorted(([tuple(c) for c in r.clauses], r.toxic, r["count"]) for r in rows)
+    docs_, y, many = ([r[k] for r in rows] for k in range(3))
+    return Model(insults, fit_weights(docs_, np.array(y, float), np.array(many, float)))
 
 
 def score(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:

@@ -130,10 +130,12 @@ def test_toxicity_learns_words_and_reads_clauses(spark):
     got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
     assert all(got[i].predicted == (i % 5 == 0) for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1)
     assert all(0 <= got[i].score < 0.5 for i in (2000, 2001))
-    kinds = lambda t: dict(zip(toxicity.KINDS, toxicity.Machine({"moron": 1}).counts(t), strict=True))
-    assert kinds("you are a moron")[toxicity.AIMED] == 1 and kinds("moron. you")[toxicity.INSULT] == 1
-    assert kinds("not a moron")[toxicity.NEGATED] == 1 and kinds("he said moron")[toxicity.REPORTED] == 1
-    assert kinds("i will kill you")[toxicity.AIMED_THREAT] == 1 and sum(kinds("").values()) == 0
+    kinds = lambda t: [k for _, own in toxicity.Machine({"moron": 1}).clauses(t) for k in own]
+    assert kinds("you are a moron") == [toxicity.AIMED] and kinds("moron. you") == [toxicity.INSULT]
+    assert kinds("not a moron") == [toxicity.NEGATED] and kinds("he said moron") == [toxicity.REPORTED]
+    assert toxicity.AIMED_THREAT in kinds("i will kill you") and kinds("") == []
+    again = toxicity.fit(docs.repartition(7), labels.repartition(5))
+    assert again.insults == model.insults and (again.weights == model.weights).all()
     untrained = toxicity.fit(docs.filter("false"), labels.filter("false"))
     assert np.allclose(untrained.weights, toxicity.PRIOR)
 
@@ -183,6 +185,41 @@ def test_repeated_bytes_go(spark, docs, most, monkeypatch):
     assert suffix_dedup.remove_repeats(empty(docs)).count() == 0
 
 
+def test_quotations_end_and_clauses_are_scored_alone():
+    machine = toxicity.Machine({"moron": 1})
+    one = machine.clauses("you are a moron")[0][0]
+    for mark in "\"“„«":
+        late = machine.clauses(f"5{mark} wide. a. b. c. d. {'word ' * 50}. you are a moron")
+        assert late[-1][0] == one  # behind a mark that nothing closes
+        assert machine.clauses(f"he {mark}moron{mark} here")[0][1] == [toxicity.REPORTED]
+    model = toxicity.Model({"moron": 1}, toxicity.PRIOR)
+    mild = model.scores(["he said moron. " * 3, "not a moron. " * 3, "plain words. " * 5000, None, "you are a moron. " + "plain words. " * 5000])
+    assert (mild[:4] < 0.5).all() and mild[4] > 0.7
+
+
+def test_clause_grammar_beats_word_counts():
+    """Aimed insults are toxic; negated and reported ones are not. Words alone can't tell them apart."""
+    r = random.Random(3)
+    bad, good = ("you are a moron", "they are moron", "i will kill you"), ("he said moron", "not a moron", "she wrote: moron", "never kill time")
+    plain = lambda: " ".join(r.choices(["stone", "river", "green", "walks", "under"], k=8))
+    rows = [(f"{plain()}. {r.choice(bad if i % 2 else good)}. {plain()}.", i % 2) for i in range(400)]
+    machine = toxicity.Machine({"moron": 1})
+    clauses = [[toxicity.kind_counts(own) for _, own in machine.clauses(t)] for t, _ in rows[:200]]
+    model = toxicity.Model({"moron": 1}, toxicity.fit_weights(clauses, np.array([float(y) for _, y in rows[:200]]), np.ones(200)))
+    right = sum((s >= 0.7) == bool(y) for s, (_, y) in zip(model.scores([t for t, _ in rows[200:]]), rows[200:], strict=True))
+    words = max(sum((("moron" in t or "kill" in t) == bool(y)) for t, y in rows[200:]), sum(not y for _, y in rows[200:]))
+    assert right >= 195 > words + 50
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(1, "you idiot", 5.0), (1, "you idiot", 5.0), (2, "you idiot. " * 20_000, 1.0), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    model = toxicity.Model({"idiot": 1}, toxicity.PRIOR)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 4 and [x.predicted for x in got] == [1, 1, 1, 0] and got[0].score == got[1].score <= 1
+    assert toxicity.score(docs.filter("false"), model).count() == 0
+
+
 def test_imatch_columns(docs):
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
     got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
