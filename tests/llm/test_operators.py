@@ -366,6 +366,41 @@ def test_archives_round_trip(spark):
     assert arc_warc.read_warc(arc_warc.to_warc(arc_warc.arc_archives(pages.filter("false")))).count() == 0
 
 
+@pytest.mark.parametrize("size", [53, 125, 236, 757])
+def test_decontamination_recall_at_the_edit_limit(size):
+    """Against brute force: the exact distance of every document to every item."""
+    r = random.Random(size)
+    part = lambda n: " ".join("".join(r.choices(["ta", "re", "mo", "li", "sen", "kor", "ung", "an", "the"], k=r.randint(1, 4))) for _ in range(n))[:n].strip()
+    items = [(i, decontaminate.normal(part(size))) for i in range(12)]
+    ix = decontaminate.Index(items, 0.1, 0.99, 0.78, 2)
+    docs = []
+    for _ in range(5):
+        for kind in "sidm":
+            for _, t in items:
+                t = list(t)
+                for _ in range(decontaminate.allowed_edits(size, 0.1)):
+                    k, p = (kind if kind != "m" else r.choice("sid")), r.randrange(len(t))
+                    t[p : p + (k != "i")] = "" if k == "d" else r.choice("xyzqwabe")
+                docs.append(decontaminate.normal(f"{part(40)} {''.join(t)} {part(90)}"))
+    docs += [part(size) for _ in range(20)]
+    want = {(k, i) for k, d in enumerate(docs) for i, t in items if (k >= 240 or i == k % 12) and decontaminate.edit_distance_inside(t, d, allowed := decontaminate.allowed_edits(len(t), 0.1))[0] <= allowed}
+    got = {f[:2] for f in ix.search(docs)}
+    assert len(want) >= 200 and len(want & got) >= 0.99 * len(want)
+    assert all(decontaminate.edit_distance_inside(dict(items)[i], docs[k], 99)[0] <= 0.1 * size for k, i in got)
+
+
+def test_decontamination_of_odd_rows(spark):
+    item = "an item of the benchmark that is long enough to be found, with some words"
+    docs = spark.createDataFrame([(None, f"x {item} y", "a"), (None, "clean text", "b"), (1, "clean text", "c"), (1, item.upper(), "d"), (2, None, "e"), (3, " ", "f"), (4, "say tiny now", "g"), (5, f"{'word ' * 200_000}{item}", "h"), (5, "clean text", "c")], "doc_id long, text string, distance string")
+    bench = spark.createDataFrame([(1, item), (2, item), (3, None), (4, "  "), (5, "tiny"), (5, "tiny")], "item_id long, text string")
+    got = sorted((x.doc_id or 0, x.item_id, x.distance, x.item_chars) for x in decontaminate.find_items(docs, bench).collect())
+    n = len(item)
+    assert got == [(0, 1, 0, n), (0, 2, 0, n), (1, 1, 0, n), (1, 2, 0, n), (4, 5, 0, 4), (4, 5, 0, 4), (5, 1, 0, n), (5, 2, 0, n)]
+    for block in (10, 1 << 20):
+        kept = decontaminate.decontaminate(docs, bench, block_chars=block)
+        assert kept.columns == docs.columns and sorted(x.distance for x in kept.collect()) == ["b", "c", "c", "e", "f"]
+
+
 def test_decontamination_finds_edited_items(spark):
     r = random.Random(5)
     text = lambda k: " ".join("".join(r.choices("aeioubdklmnrst", k=r.randint(2, 8))) for _ in range(k))
@@ -384,9 +419,9 @@ def test_decontamination_finds_edited_items(spark):
     rows += [(900, None), (901, ""), (902, items[0][1]), (903, "the " * 5000)]
     want.add((902, 0))
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for block in (5000, 7):
-        got = {(x.doc_id, x.item_id) for x in decontaminate.find_items(docs, bench, block_items=block).collect()}
-        assert got <= want and len(got) >= 0.97 * len(want)
+    for block in (100_000, 1500):
+        got = {(x.doc_id, x.item_id) for x in decontaminate.find_items(docs, bench, block_chars=block).collect()}
+        assert got <= want and len(got) >= 0.99 * len(want)
     assert decontaminate.decontaminate(docs, bench.filter("false")).count() == len(rows)
     assert decontaminate.find_items(docs.filter("false"), bench).count() == 0
 
