@@ -401,6 +401,17 @@ def test_decontamination_of_odd_rows(spark):
         assert kept.columns == docs.columns and sorted(x.distance for x in kept.collect()) == ["b", "c", "c", "e", "f"]
 
 
+def test_keep_one_keeps_every_distinct_text(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, long, "a"), (1, "another text with other words in it", "b"), (2, long + " end", "c"), (None, None, "d"), (None, " ", "e"), (3, "one two", "f"), (3, "ONE  two", "g"), (None, "nobody knows the number of this row", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kid string")
+    got = hyperminhash.keep_one(docs)
+    assert got.columns == docs.columns
+    names = sorted(r.kid for r in got.collect())
+    assert names in (["a", "b", "d", "e", "f", "h"], ["a", "b", "d", "e", "g", "h"])
+    assert hyperminhash.keep_one(docs.filter("false")).count() == 0
+
+
 def test_decontamination_finds_edited_items(spark):
     r = random.Random(5)
     text = lambda k: " ".join("".join(r.choices("aeioubdklmnrst", k=r.randint(2, 8))) for _ in range(k))
