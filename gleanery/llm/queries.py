@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from gleanery.llm import arc_warc, decontaminate, html_crf, hyperminhash, imatch, mixing, reply_trees, suffix_dedup, token_store, toxicity
 from gleanery.storage import Tables
 
-#: Production parameters.
+# Production parameters.
+#: A document's inclusion probability in the mix grows with its size to this power.
+SIZE_POWER = 0.5
 TOKENIZER, VOCABULARY, END_ID = "word_bpe_49k.json", 49_408, 2
 
 
@@ -26,7 +28,7 @@ def tokenizer_path() -> str:
 
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    return mixing.mix(docs, size_power=SIZE_POWER).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
 def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,29 @@ def test_mixing_passes_over_documents_that_do_not_fit(spark):
         assert {r.source: r.k for r in got} == {"a": 30, "b": 60, "c": 60} and all(r.k == pytest.approx(r.t) for r in got)
 
 
+def test_pareto_inclusion_follows_the_weights(spark):
+    """Inclusion frequencies over many seeds against rates solved by brute force, with one certain document."""
+    weight = {i: float(w) for i, w in enumerate([1] * 30 + [3] * 30 + [60], 1)}
+    rows = [(i, "w w w w", "a", w) for i, w in weight.items()] + [(i, "w " * 400, "b", 1.0) for i in range(100, 103)] + [(200, "w " * 8, "c", None), (201, "w " * 8, "c", -1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, wish double").persist()
+    seeds, seen = 8, Counter()
+    for seed in range(seeds):
+        got = mixing.mix(docs, weights=(1, 20, 1), seed=seed, weight_col="wish").collect()
+        target = next(r.mix_target for r in got if r.source == "a")
+        assert abs(sum(r.mix_taken for r in got if r.source == "a") - target) <= 2
+        seen.update(r.doc_id for r in got if r.source == "a" and r.mix_copies)
+    missing, sure = target, set()
+    while True:
+        rate = (missing - 4 * len(sure)) / sum(4 * w for i, w in weight.items() if i not in sure)
+        more = {i for i, w in weight.items() if i not in sure and rate * w >= 1}
+        if not more:
+            break
+        sure |= more
+    assert sure == {61} and seen[61] == seeds
+    for kind, ids in ((1, range(1, 31)), (3, range(31, 61))):
+        assert sum(seen[i] for i in ids) / (30 * seeds) == pytest.approx(rate * kind, abs=0.09)
+
+
 def test_crf_keeps_the_article_and_drops_the_rest(spark):
     page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body><header><p>Site</p></header>
       <nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div>
