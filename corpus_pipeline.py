@@ -32,7 +32,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix at target weights: a document stands as many times as the mix takes it."""
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    return mixing.repeated(mixing.mix(docs, size_power=queries.SIZE_POWER), docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
