@@ -15,6 +15,7 @@ from gleanery.plans import views
 from gleanery.plans.group_sql import STAGES, fnv
 from gleanery.plans.views import ENGINE, NOW_US, SQL, table
 from gleanery.sources import assets as sources
+from gleanery.storage import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,11 +198,13 @@ def components(spark, d):
 
 # Groups.
 def make_members(spark, d) -> DataFrame:
-    return groups.make_members(views.assets(spark, d), ENGINE)
+    """Written once, since groups, their members and ranks all read it."""
+    return Tables(spark, "members").write(groups.make_members(views.assets(spark, d), ENGINE))
 
 
 def all_groups(spark, d) -> DataFrame:
-    return groups.make_groups(make_members(spark, d), NOW_US, ENGINE)
+    """Written once, since states, orders and decisions join the groups with what is derived from them."""
+    return Tables(spark, "groups").write(groups.make_groups(make_members(spark, d), NOW_US, ENGINE))
 
 
 _OUT = ["library_id", "group_id", "kind", "members", "representative", "span_start", "span_end", "certainty", "flagged", "keeper", "headline"]
@@ -294,7 +297,7 @@ _SCORES = f"""{_MEMBERS}, sc AS (SELECT group_id, kind, key, pos, CASE WHEN n =
 
 def ranked(spark, d) -> tuple[DataFrame, DataFrame]:
     m = make_members(spark, d)
-    g = groups.make_groups(m, NOW_US, ENGINE).filter(F.col("kind").isin("burst", "versions", "bracket", "nearDuplicate", "exactDuplicate"))
+    g = Tables(spark, "ranked").write(groups.make_groups(m, NOW_US, ENGINE).filter(F.col("kind").isin("burst", "versions", "bracket", "nearDuplicate", "exactDuplicate")))
     long = g.select("library_id", "group_id", F.posexplode("member_keys").alias("pos", "key"))
     return g, ranking.rank_members(m.join(long, ["library_id", "key"]))
 
