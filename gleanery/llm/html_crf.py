@@ -5,7 +5,7 @@ and its own text: length, share of linked text, closing punctuation, stock phras
 and transitions are trained by gradient steps on the exact likelihood (forward-backward) of labelled pages, and Viterbi
 picks a page's labels. Labelled pages are made by ``labelled_pages`` from page layouts, a fixed number and seed.
 
-Never text: scripts, styles, comments, form controls, templates, the head. Character references are decoded, white space in
+Never text: scripts, styles, comments, form controls, options, templates, the head. Character references are decoded, white space in
 a block becomes one space, a ``br`` is white space, blocks are joined in page order by one newline.
 
 Edge cases: null and empty html give an empty text; unclosed and stray tags are closed or skipped as browsers do; a page cut
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 # HTML's element kinds.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
-    "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe label legend li main menu nav ol p pre section "
+    "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe label legend li main menu nav object ol option p pre section "
     "select summary table tbody td tfoot th thead tr ul video audio".split()
 )
-RAW = frozenset("script style textarea title noscript template svg select option head object iframe".split())
+RAW = frozenset("script style textarea title noscript template svg select datalist head iframe".split())
+#: Of these, the elements that run to the end of the page if nothing closes them; others without an end are skipped as tags.
+TO_END = frozenset("script style textarea title".split())
 ENDS_P = BLOCK - {"button", "label", "select", "caption", "td", "th", "tr", "iframe", "video", "audio", "body", "html"}
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+CLOSES = {"option": {"option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+SCOPE = {"option": {"select", "datalist"}, "li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 # Words of class, id and role attributes that layouts use.
 NAMES = frozenset(
     "ad advert advertisement sponsor sponsored promo promotion banner sidebar side aside widget related recommended recommendation "
@@ -87,7 +89,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, int, str, frozenset]]:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
+            if text and stack[-1].tag != "option":
                 out.append((text, linked, stack[-1].tag, stack[-1].context))
             parts.clear()
         linked = 0
@@ -126,7 +128,7 @@ def leaf_blocks(page: str | None) -> list[tuple[str, int, str, frozenset]]:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 if end:
                     at = end.end()
-                elif tag != "head":
+                elif tag in TO_END:
                     at = size
         elif tag == "a":
             in_link = True

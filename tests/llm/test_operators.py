@@ -127,6 +127,22 @@ def test_crf_keeps_the_article_and_drops_the_rest(spark):
     assert all(got[k].text == "" and got[k].n_chars == 0 for k in (2, 3, 4))
 
 
+@pytest.mark.parametrize("odd", ["<datalist><option value=a><option value=b></datalist>", "<object data=x>", "<select><option>one<option>two</select>", "<option>stray", "<template>", "<svg>", "<iframe src=x>"])
+def test_nothing_is_lost_behind_an_odd_element(odd):
+    body = "<article><h1>Title here</h1><p>This is the first paragraph of the text, and it is long enough.</p><p>And the second one follows it.</p></article>"
+    want = "Title here\nThis is the first paragraph of the text, and it is long enough.\nAnd the second one follows it."
+    texts = [b[0] for b in html_crf.leaf_blocks(f"<body>{odd}{body}</body>")]
+    assert "\n".join(t for t in texts if t in want) == want and not {"one", "two", "stray"} & set(texts)
+
+
+def test_crf_rows_of_odd_tables(spark):
+    long = "<article><p>" + "</p><p>".join(f"Paragraph {i} of a very long article, with a full stop at the end." for i in range(20_000)) + "</p></article>"
+    pages = spark.createDataFrame([(1, "u", long, "x", 1)], "page_id long, url string, html string, text string, n_chars int")
+    got = html_crf.extract(pages).collect()
+    assert len(got) == 1 and got[0].text.count("\n") == 19_999 and got[0].n_chars == len(got[0].text)
+    assert html_crf.extract(pages.filter("false")).count() == 0
+
+
 def test_crf_on_held_out_layouts():
     crf, good, n = html_crf.trained(), 0, 0
     for page, labels in html_crf.labelled_pages(150, seed=77):
