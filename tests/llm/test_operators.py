@@ -440,6 +440,50 @@ def test_decontamination_of_odd_rows(spark):
         assert kept.columns == docs.columns and sorted(x.distance for x in kept.collect()) == ["b", "c", "c", "e", "f"]
 
 
+def test_imatch_matches_brute_force(spark, docs):
+    """Lexicon, parts, fingerprints and likeness of both texts, recomputed in plain Python from the hash's definition."""
+    from math import log
+
+    import regex
+    import xxhash
+
+    rows = sorted((r.doc_id, r.text or "") for r in docs.filter("doc_id is not null").collect())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = lambda t: {xxhash.xxh64_intdigest(w.encode(), 42) & ~1 for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    df, n = Counter(h for _, t in rows for h in own(t)), len(rows)
+    base = {h for h, k in df.items() if imatch.BAND[0] <= log(n / k) / log(n) <= imatch.BAND[1]}
+    assert base
+
+    def part(hashes):
+        out = 42
+        for h in hashes:
+            out = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), out)
+        return out & 0xFFFFFF if hashes else None
+
+    def made(t):
+        # Sorted within a class; classes by their first bits.
+        found, bits = sorted(own(t) & base), imatch.CLASS_BITS
+        if not found:
+            return xxhash.xxh64_intdigest(t.encode(), 42)
+        parts = [part([h for h in found if h >> 64 - s == c]) for s in range(bits + 1) for c in range(1 << s)]
+        return parts + [part([h for h in found if h >> 64 - bits == c and h & (2 << z) - 2 == 0]) for z in range(1, imatch.NARROW + 1) for c in range(1 << bits)]
+
+    def alike(a, b):
+        if isinstance(a, int) or isinstance(b, int):
+            return float(a == b)
+        return sum(x == y for x, y in zip(a, b, strict=True) if x is not None) / sum(x is not None or y is not None for x, y in zip(a, b, strict=True))
+
+    said = lambda p: f"{p:016X}" if isinstance(p, int) else "".join("-" * 6 if x is None else f"{x:06X}" for x in p)
+    got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
+    for k, (key, t) in enumerate(rows):
+        other = rows[(k + 1) % n][1]
+        half = len(t) // 2
+        a, e, x = made(t), made(t[: len(t) - half] + other[:half]), made(other)
+        r = got[key]
+        assert (r.fingerprint, r.edited_fingerprint) == (said(a), said(e))
+        assert r.near_edited == pytest.approx(alike(a, e)) and r.near_next == pytest.approx(alike(a, x))
+
+
 def test_keep_one_keeps_every_distinct_text(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long, "a"), (1, long, "a"), (1, "another text with other words in it", "b"), (2, long + " end", "c"), (None, None, "d"), (None, " ", "e"), (3, "one two", "f"), (3, "ONE  two", "g"), (None, "nobody knows the number of this row", "h")]
