@@ -67,11 +67,11 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def with_parts(rows: DataFrame, tag: int, out: str) -> DataFrame:
-    """``rows`` with ``out``, a part (24 bits) per lexicon, null where the terms of columns ``tag``_0, ``tag``_1, ... have none of it.
+    """``rows`` with ``out``, a part (15 bits) per lexicon, null where the terms of columns ``tag``_0, ``tag``_1, ... have none of it.
 
     The columns are the classes of the longest beginning, each sorted; the hash of several columns is that of their concatenation.
     """
-    one = lambda cs: F.when(F.greatest(*map(F.size, cs), F.lit(0)) > 0, F.xxhash64(*cs).bitwiseAND(F.lit(0xFFFFFF)).cast("int"))
+    one = lambda cs: F.when(F.greatest(*map(F.size, cs), F.lit(0)) > 0, F.xxhash64(*cs).bitwiseAND(F.lit(0x7FFF)).cast("short"))
     inside = [f"{tag}_{k}" for k in range(1 << CLASS_BITS)]
     wide = [inside[k : k + n] for n in (len(inside) >> s for s in range(CLASS_BITS + 1)) for k in range(0, len(inside), n)]
     rows, names = rows.withColumn(f"__{out}", F.array(*map(one, wide))), [f"__{out}"]
@@ -84,7 +84,7 @@ def with_parts(rows: DataFrame, tag: int, out: str) -> DataFrame:
 
 
 def fingerprint(p: Column, whole: Column) -> Column:
-    said = F.array_join(F.transform(p, lambda x: F.when(x.isNull(), F.lit("-" * 6)).otherwise(F.lpad(F.hex(x), 6, "0"))), "")
+    said = F.array_join(F.transform(p, lambda x: F.when(x.isNull(), F.lit("-" * 4)).otherwise(F.lpad(F.hex(x), 4, "0"))), "")
     return F.when(whole.isNull(), said).otherwise(F.lpad(F.hex(whole), 16, "0"))
 
 
