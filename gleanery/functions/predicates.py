@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from gleanery.config import US, GroupConfig
 
-#: kind -> (deck rank, keeps all, proposes keep one, has a best shot)
+#: kind -> (deck rank, keeps all, proposes keep one, has a best shot, title)
 KINDS = {
-    "failedFrame": (0, False, False, False),
-    "exactDuplicate": (1, False, False, False),
-    "burst": (2, False, True, True),
-    "expiredUtility": (3, False, False, False),
-    "nearDuplicate": (4, False, True, True),
-    "bracket": (5, True, False, False),
-    "versions": (5, False, False, True),
-    "session": (6, True, False, False),
-    "video": (7, True, False, False),
+    "failedFrame": (0, False, False, False, "Failed frames"),
+    "exactDuplicate": (1, False, False, False, "Exact copies"),
+    "burst": (2, False, True, True, "Burst"),
+    "expiredUtility": (3, False, False, False, "Old screen captures"),
+    "nearDuplicate": (4, False, True, True, "Near duplicates"),
+    "bracket": (5, True, False, False, "Exposure bracket"),
+    "versions": (5, False, False, True, "Original and edit"),
+    "session": (6, True, False, False, "Session"),
+    "video": (7, True, False, False, "Video"),
 }
 
 
@@ -70,8 +70,8 @@ def strip_key_prefix(key: str = "key", prefix: str = "photos:") -> Column:
 
 
 def kind_traits(spark: SparkSession) -> DataFrame:
-    """Nine rows: kind, deck_rank, keeps_all, proposes_keep_one, has_best_shot."""
-    return spark.createDataFrame([(k, *v) for k, v in KINDS.items()], "kind string, deck_rank int, keeps_all boolean, proposes_keep_one boolean, has_best_shot boolean")
+    """Nine rows: kind, deck_rank, keeps_all, proposes_keep_one, has_best_shot, title."""
+    return spark.createDataFrame([(k, *v) for k, v in KINDS.items()], "kind string, deck_rank int, keeps_all boolean, proposes_keep_one boolean, has_best_shot boolean, title string")
 
 
 def deck_rank(kind: str = "kind") -> Column:

@@ -137,13 +137,14 @@ METRICS = T.StructType(
 
 @F.pandas_udf(METRICS)
 def measure(width: pd.Series, height: pd.Series, samples: pd.Series, subject: pd.DataFrame) -> pd.DataFrame:
-    """The six metrics of a plane and its subject rectangle (x, y, w, h), in one pass over the pixels."""
+    """The six metrics of a plane and its subject rectangle (x, y, w, h, and is_face if known), in one pass over the pixels."""
     rows = []
-    for w, h, s, rect in zip(width, height, samples, subject[["x", "y", "w", "h"]].itertuples(index=False), strict=True):
+    faces = subject["is_face"] if "is_face" in subject else [False] * len(subject)
+    for w, h, s, rect, face in zip(width, height, samples, subject[["x", "y", "w", "h"]].itertuples(index=False), faces, strict=True):
         p = np.asarray(s, float).reshape(h, w)
         part = subject_crop(p, tuple(rect)) if p.size else p
         none = not p.size
-        rows.append((_sharpness(part), _sharpness(p), 0.0 if none else float((p >= 252.5).mean()), 0.0 if none else float((p <= 2.5).mean()), 1.0 if none else 1 - min(p.std() / 255, 1), False))
+        rows.append((_sharpness(part), _sharpness(p), 0.0 if none else float((p >= 252.5).mean()), 0.0 if none else float((p <= 2.5).mean()), 1.0 if none else 1 - min(p.std() / 255, 1), bool(face)))
     return pd.DataFrame(rows, columns=METRICS.names)
 
 
@@ -207,3 +208,11 @@ def commit_text(n: Column, size: Column, situation: Column) -> Column:
     noun = F.when(n == 1, F.lit("item")).otherwise(F.lit("items"))
     gain = F.when(situation == "optimising", F.lit("frees cloud space")).when(situation == "fullCopies", F.lit("frees device space")).otherwise(F.lit("space gain unknown"))
     return F.concat_ws(" ", n.cast("string"), noun, F.concat(size.cast("string"), F.lit(" bytes:")), gain)
+
+
+def session_text(n: Column, last_us: Column, now_us: Column) -> Column:
+    """How much an earlier session reviewed, and how long ago; null without one."""
+    age = F.floor((now_us - last_us) / (60 * US))
+    noun = F.when(n == 1, F.lit("photo")).otherwise(F.lit("photos"))
+    ago = F.when(age < 60, F.concat(age.cast("string"), F.lit(" min"))).when(age < 1440, F.concat(F.floor(age / 60).cast("string"), F.lit(" h"))).otherwise(F.concat(F.floor(age / 1440).cast("string"), F.lit(" d")))
+    return F.concat(F.lit("Earlier session: "), n.cast("string"), F.lit(" "), noun, F.lit(" decided, "), ago, F.lit(" ago"))

@@ -143,3 +143,18 @@ def start_over(states: DataFrame, settled: DataFrame, including_ignored: bool) -
 def carry_marks(old: DataFrame, groups: DataFrame) -> DataFrame:
     """Marks (group_id, marks) of groups that survived a rerun, clipped to their members."""
     return groups.join(old, "group_id").select("group_id", F.array_sort(F.array_intersect("marks", "member_keys")).alias("marks"))
+
+
+def carry_cards(old: DataFrame, groups: DataFrame, fresh: DataFrame) -> DataFrame:
+    """group_id, marks, suggestion, user_edited, deferred of the pending groups after a rerun.
+
+    ``old(group_id, marks, suggestion, user_edited, deferred)`` are the cards before; a group that is among them keeps what
+    it had, its marks clipped to its members; ``deferred`` is its place in the pile for later, or null, and survivors keep
+    their order with gaps. Others take ``fresh(group_id, marks)`` and are neither suggested, edited nor deferred.
+    """
+    pending = groups.filter("state = 'pending'").select("group_id", "member_keys")
+    rows = pending.join(old.withColumnRenamed("marks", "__old").withColumn("__had", F.lit(True)), "group_id", "left").join(fresh.select("group_id", F.col("marks").alias("__new")), "group_id", "left")
+    none = F.array().cast("array<string>")
+    kept = F.array_intersect(F.coalesce("__old", none), "member_keys")
+    marks = F.array_sort(F.when(F.col("__had"), kept).otherwise(F.coalesce("__new", none)))
+    return rows.select("group_id", marks.alias("marks"), "suggestion", F.coalesce("user_edited", F.lit(False)).alias("user_edited"), "deferred")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ EDITED, UNEDITED, KEEP_ALL, UNUSABLE = "Edited version", "Unedited original", "K
 USER_PICK, AUTO_PICK = "Picked by you at capture", "Picked at capture"
 
 
+#: From members (group_id, kind, pos, ...asset columns) to scores (group_id, kind, key, pos, total, reasons, confidence).
+Ranker = Callable[[DataFrame], DataFrame]
+
+
 def min_max(value: Column, w) -> Column:
     """(v - min) / (max - min) over the group; 1 where all are equal."""
     lo, hi = F.min(value).over(w), F.max(value).over(w)
@@ -67,6 +73,13 @@ def best_of(scores: DataFrame) -> DataFrame:
     return best.select("group_id", "b.key", (-F.col("b.t")).alias("total"))
 
 
+def suggest(members: DataFrame, ranker: Ranker = rank_members) -> DataFrame:
+    """group_id, key: the best shot of every group of several members, by any ranker."""
+    w = Window.partitionBy("group_id")
+    several = members.withColumn("__n", F.count("*").over(w)).filter("__n > 1").drop("__n")
+    return best_of(ranker(several)).select("group_id", "key")
+
+
 def rank_tiers(scores: DataFrame, has_best_shot: Column) -> DataFrame:
     """best, good (from 0.5) or weaker, in groups of several members whose kind has a best shot; else null."""
     w = Window.partitionBy("group_id")

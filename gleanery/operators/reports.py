@@ -88,8 +88,11 @@ def category_filter(assets: DataFrame, category: str, groups: DataFrame | None =
     return assets.filter(wanted[category])
 
 
-def review_filter(assets: DataFrame, decisions: DataFrame, what: str) -> DataFrame:
-    """picks or marked: assets with that decision; videos: contained videos with any."""
+def review_filter(assets: DataFrame, decisions: DataFrame, what: str, groups: DataFrame | None = None) -> DataFrame:
+    """sets: members of any group, whatever its state (needs groups); picks or marked: assets with that decision; videos: contained videos with any."""
+    if what == "sets":
+        keys = groups.select("library_id", F.explode("member_keys").alias("key"))
+        return assets.join(keys, ["library_id", "key"], "left_semi")
     if what == "videos":
         return assets.filter(is_contained_video()).join(decisions.select("key"), "key", "left_semi")
     value = {"picks": "pick", "marked": "reject"}[what]

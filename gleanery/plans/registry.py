@@ -55,6 +55,7 @@ column("classify_quality", lambda: F.concat_ws("|", "quality.tier", F.array_join
 column("exposure_score", lambda: F.round(S.exposure_score(), 6), "round(1 - least(1, hi + lo), 6)")
 column("confidence", lambda: S.confidence(F.col("scored_from_stand_in")), "CASE WHEN stand_in THEN 'low' ELSE 'normal' END")
 column("utc_year", lambda: S.utc_year(P.usable_us()), "year(make_timestamp(us))")
+column("time_gap", lambda: S.time_gap_us(P.usable_us(), F.unix_micros("modification_date")), "abs(us - modified_us)")
 column("fnv1a64_hex", lambda: S.fnv1a64_hex(F.col("key")), fnv("key"))
 column("stand_in_flag", lambda: S.stand_in_flag(F.col("event_id") % 200, F.col("event_id") % 150, F.col("scored_from_stand_in")), "stand_in OR greatest(i % 200, i % 150) < 128")
 column("content_hash", lambda: S.content_hash(F.col("event_id") % 7, F.col("event_id") % 5, F.encode("key", "UTF-8"), F.col("scored_from_stand_in")),
@@ -67,10 +68,10 @@ def is_reviewed(spark, d):
     return decisions.fold_journal(views.journal(spark, d).filter("value is not null")).select("key", P.is_reviewed().alias("value"))
 
 
-@query("kind_traits", f"{SQL}{STAGES} SELECT kind, count(*) AS n, bool_and(kind = 'bracket') AS keeps_all, bool_and(kind IN ('burst', 'nearDuplicate')) AS keep_one, bool_and(kind IN ('burst', 'nearDuplicate', 'versions')) AS best_shot FROM groups GROUP BY kind")
+@query("kind_traits", f"{SQL}{STAGES} SELECT kind, count(*) AS n, bool_and(kind = 'bracket') AS keeps_all, bool_and(kind IN ('burst', 'nearDuplicate')) AS keep_one, bool_and(kind IN ('burst', 'nearDuplicate', 'versions')) AS best_shot, CASE kind WHEN 'failedFrame' THEN 'Failed frames' WHEN 'exactDuplicate' THEN 'Exact copies' WHEN 'burst' THEN 'Burst' WHEN 'expiredUtility' THEN 'Old screen captures' WHEN 'nearDuplicate' THEN 'Near duplicates' WHEN 'bracket' THEN 'Exposure bracket' WHEN 'versions' THEN 'Original and edit' END AS title FROM groups GROUP BY kind")
 def kind_traits(spark, d):
     traits = F.broadcast(P.kind_traits(spark))  # nine fixed rows
-    return all_groups(spark, d).join(traits, "kind").groupBy("kind").agg(F.count("*").alias("n"), F.bool_and("keeps_all").alias("keeps_all"), F.bool_and("proposes_keep_one").alias("keep_one"), F.bool_and("has_best_shot").alias("best_shot"))
+    return all_groups(spark, d).join(traits, "kind").groupBy("kind", "title").agg(F.count("*").alias("n"), F.bool_and("keeps_all").alias("keeps_all"), F.bool_and("proposes_keep_one").alias("keep_one"), F.bool_and("has_best_shot").alias("best_shot"))
 
 
 def near_vectors(spark, d) -> DataFrame:
@@ -114,6 +115,23 @@ def measure(spark, d):
     return m.select("vec_id", F.round("m.global_sharpness", 4).alias("global_sharpness"), F.round("m.frame_uniformity", 6).alias("frame_uniformity"))
 
 
+#: The middle quarter of an 8 x 8 plane; inset, it is 4 x 4 pixels, whose inner ones are 2 x 2.
+_MIDDLE = _INNER.replace("BETWEEN 1 AND 6", "BETWEEN 3 AND 4")
+
+
+@query("measure_subject", f"WITH q AS (SELECT vec_id, {_PLANE} AS p FROM embeddings) SELECT vec_id, round(list_var_pop({_MIDDLE}), 4) AS subject_sharpness, round(len(list_filter(p, lambda x: x >= 252.5)) / 64.0::DOUBLE, 6) AS clipped_highlights, round(len(list_filter(p, lambda x: x <= 2.5)) / 64.0::DOUBLE, 6) AS clipped_shadows, vec_id % 2 = 0 AS subject_is_face FROM q")
+def measure_subject(spark, d):
+    rect = F.struct(F.lit(0.25).alias("x"), F.lit(0.25).alias("y"), F.lit(0.5).alias("w"), F.lit(0.5).alias("h"), (F.col("vec_id") % 2 == 0).alias("is_face"))
+    m = planes(spark, d).select("vec_id", S.measure(F.lit(8), F.lit(8), F.col("p"), rect).alias("m"))
+    return m.select("vec_id", F.round("m.subject_sharpness", 4).alias("subject_sharpness"), F.round("m.clipped_highlights", 6).alias("clipped_highlights"), F.round("m.clipped_shadows", 6).alias("clipped_shadows"), "m.subject_is_face")
+
+
+@query("session_text", f"SELECT user_id, 'Earlier session: ' || n || CASE WHEN n = 1 THEN ' photo' ELSE ' photos' END || ' decided, ' || CASE WHEN age < 60 THEN age || ' min' WHEN age < 1440 THEN age // 60 || ' h' ELSE age // 1440 || ' d' END || ' ago' AS value FROM (SELECT user_id, count(*) AS n, ({NOW_US} - max(epoch_us(ts::TIMESTAMP))) // 60000000 AS age FROM events GROUP BY user_id)")
+def session_text(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last"))
+    return e.select("user_id", S.session_text(F.col("n"), F.col("last"), F.lit(NOW_US)).alias("value"))
+
+
 @query("commit_text", f"{SQL} SELECT library_id, count(*) || CASE WHEN count(*) = 1 THEN ' item ' ELSE ' items ' END || coalesce(sum(byte_size), 0) || ' bytes: ' || CASE WHEN bool_or(stand_in) THEN 'frees cloud space' ELSE 'frees device space' END AS value FROM assets GROUP BY library_id")
 def commit_text(spark, d):
     a = views.assets(spark, d, False).groupBy("library_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("s"), F.bool_or("scored_from_stand_in").alias("e"))
@@ -295,11 +313,16 @@ _SCORES = f"""{_MEMBERS}, sc AS (SELECT group_id, kind, key, pos, CASE WHEN n =
     FROM rm WINDOW w AS (PARTITION BY group_id))"""
 
 
-def ranked(spark, d) -> tuple[DataFrame, DataFrame]:
+def ranked_members(spark, d) -> tuple[DataFrame, DataFrame]:
     m = make_members(spark, d)
     g = Tables(spark, "ranked").write(groups.make_groups(m, NOW_US, ENGINE).filter(F.col("kind").isin("burst", "versions", "bracket", "nearDuplicate", "exactDuplicate")))
     long = g.select("library_id", "group_id", F.posexplode("member_keys").alias("pos", "key"))
-    return g, ranking.rank_members(m.join(long, ["library_id", "key"]))
+    return g, m.join(long, ["library_id", "key"])
+
+
+def ranked(spark, d, ranker: ranking.Ranker = ranking.rank_members) -> tuple[DataFrame, DataFrame]:
+    g, members = ranked_members(spark, d)
+    return g, ranker(members)
 
 
 @query("rank_members", f"{SQL}{STAGES}{_SCORES} SELECT group_id, key, round(total, 6) AS total, reasons FROM sc")
@@ -307,6 +330,17 @@ def rank_members(spark, d):
     return joined(ranked(spark, d)[1], "reasons").select("group_id", "key", F.round("total", 6).alias("total"), "reasons")
 
 
+def by_sharpness(members: DataFrame) -> DataFrame:
+    """Another ranker: the sharpest subject wins, whatever the kind."""
+    sharp = F.coalesce("quality.metrics.subject_sharpness", F.lit(-1.0))
+    return members.select("group_id", "kind", "key", "pos", sharp.alias("total"), F.array().cast("array<string>").alias("reasons"), F.lit("normal").alias("confidence"))
+
+
+@query("suggest_with_ranker", f"{SQL}{STAGES}{_MEMBERS} SELECT group_id, first(key ORDER BY coalesce(sharp, -1) DESC, pos) AS key FROM rm WHERE n > 1 GROUP BY group_id")
+def suggest_with_ranker(spark, d):
+    return ranking.suggest(ranked_members(spark, d)[1], by_sharpness)
+
+
 @query("top_candidates", f"{SQL}{STAGES}{_SCORES} SELECT group_id, key FROM (SELECT *, max(total) OVER (PARTITION BY group_id) AS best FROM sc) WHERE total >= best * 0.95 - 1e-12")
 def top_candidates(spark, d):
     return ranking.top_candidates(ranked(spark, d)[1]).select("group_id", "key")
@@ -422,6 +456,13 @@ def attach_candidate_metadata(spark, d):
     return cache.attach_candidate_metadata(a, meta, pairs.candidate_assets(a), near).select("key", "exposure_bias")
 
 
+@query("attach_adjustments", f"{SQL}{_ALL_SESSIONS}, pc AS (SELECT key FROM (SELECT *, least(us - lag(us) OVER w, lead(us) OVER w - us) AS near FROM s1 WINDOW w AS (PARTITION BY library_id, sid ORDER BY us, key)) WHERE near <= 3600000000 AND media_type = 'image' AND NOT is_screenshot AND NOT is_screen_recording AND burst_identifier IS NULL) SELECT key, is_edited OR (i % 4 = 0 AND key IN (FROM pc)) AS is_edited_version FROM assets")
+def attach_adjustments(spark, d):
+    a = views.assets(spark, d, False)
+    meta = a.filter("event_id % 4 = 0").select("key", F.lit(True).alias("has_adjustments"), F.lit(9.0).alias("bias"))
+    return cache.attach_candidate_metadata(a, meta, pairs.candidate_assets(a), sessions.bracket_candidates(a, ENGINE.group)).select("key", "is_edited_version")
+
+
 @query("nominate_duplicates", f"{SQL} SELECT library_id, key FROM (SELECT *, count(*) OVER (PARTITION BY library_id, content_hash) AS n FROM assets WHERE media_type = 'image' AND content_hash IS NOT NULL) WHERE n > 1")
 def nominate_duplicates(spark, d):
     return cache.nominate_duplicates(views.assets(spark, d, False)).select("library_id", "key")
@@ -554,13 +595,24 @@ def commit_batch_decisions(spark, d):
     return decisions.commit_batch(decisions.deletion_candidates(a, dec), a.filter("event_id % 9 <> 0"), dec, NOW_US)[1]
 
 
+@query("save_group_states", f"{SQL}{STAGES} SELECT group_id, {_STATE} ELSE 'pending' END AS state FROM groups WHERE left(group_id, 1) < '6'")
+def save_group_states(spark, d):
+    g = all_groups(spark, d)
+    up = state_updates(g)
+    return decisions.save_group_state(some_states(g), views.settled(spark, d), up, g.select("group_id", F.explode("member_keys").alias("key")))[0]
+
+
+def state_updates(g: DataFrame) -> DataFrame:
+    """New states of the groups whose id starts with a digit under 6."""
+    first = F.substring("group_id", 1, 1)
+    return g.filter(first < "6").select("group_id", F.when(first < "2", F.lit("dismissed")).when(first < "4", F.lit("resolved")).otherwise(F.lit("pending")).alias("state"))
+
+
 @query("save_group_state", f"{SQL}{STAGES}{_SETTLED}, up AS (SELECT group_id, ks, {_STATE} WHEN left(group_id, 1) < '6' THEN 'pending' END AS state FROM groups WHERE left(group_id, 1) < '6'), tk AS (SELECT unnest(ks) AS key, state FROM up) SELECT key, state FROM stl WHERE key NOT IN (SELECT key FROM tk) UNION ALL SELECT key, state FROM tk WHERE state <> 'pending'")
 def save_group_state(spark, d):
     g = all_groups(spark, d)
-    first = F.substring("group_id", 1, 1)
-    up = g.filter(first < "6").select("group_id", F.when(first < "2", F.lit("dismissed")).when(first < "4", F.lit("resolved")).otherwise(F.lit("pending")).alias("state"))
     members = g.select("group_id", F.explode("member_keys").alias("key"))
-    return decisions.save_group_state(some_states(g), views.settled(spark, d), up, members)[1]
+    return decisions.save_group_state(some_states(g), views.settled(spark, d), state_updates(g), members)[1]
 
 
 @query("start_over", f"{SQL}{_SETTLED} SELECT key, state FROM stl WHERE state = 'dismissed'")
@@ -569,6 +621,28 @@ def start_over(spark, d):
     return decisions.start_over(s.withColumnRenamed("key", "group_id"), s, False)[1]
 
 
+@query("start_over_states", f"{SQL}{STAGES} SELECT group_id, 'dismissed' AS state FROM groups WHERE left(group_id, 1) < '2'")
+def start_over_states(spark, d):
+    return decisions.start_over(some_states(all_groups(spark, d)), views.settled(spark, d), False)[0]
+
+
+@query("start_over_all", f"{SQL}{_SETTLED} SELECT key, state FROM stl WHERE false")
+def start_over_all(spark, d):
+    s = views.settled(spark, d)
+    return decisions.start_over(s.withColumnRenamed("key", "group_id"), s, True)[1]
+
+
+@query("carry_cards", f"{SQL}{STAGES}{_LONG} SELECT group_id, CASE WHEN left(group_id, 1) < '8' THEN array_to_string(list_sort(list_filter(ks, lambda k: right(k, 1) < '5')), '|') ELSE coalesce(string_agg(mk.key, '|' ORDER BY mk.key) FILTER (mk.marked), '') END AS marks, CASE WHEN left(group_id, 1) < '8' THEN ks[1] END AS suggestion, left(group_id, 1) < '5' AS user_edited, CASE WHEN left(group_id, 1) < '3' THEN len(ks) END AS deferred FROM (SELECT group_id, ks FROM groups WHERE left(group_id, 1) <> '7') JOIN mk USING (group_id) GROUP BY group_id, ks")
+def carry_cards(spark, d):
+    g = all_groups(spark, d)
+    first = F.substring("group_id", 1, 1)
+    low = F.filter("member_keys", lambda k: F.right(k, F.lit(1)) < "5")
+    old = g.filter(first < "8").select("group_id", F.concat(low, F.array(F.lit("gone"))).alias("marks"), F.element_at("member_keys", 1).alias("suggestion"), (first < "5").alias("user_edited"), F.when(first < "3", F.size("member_keys")).alias("deferred"))
+    rows = decisions.long_form(g, views.assets(spark, d, False), views.decisions(spark, d), views.settled(spark, d)).filter(decisions.initial_mark())
+    now = g.withColumn("state", F.when(first == "7", F.lit("resolved")).otherwise(F.lit("pending")))
+    return joined(decisions.carry_cards(old, now, rows.groupBy("group_id").agg(F.collect_list("key").alias("marks"))), "marks")
+
+
 @query("carry_marks", f"{SQL}{STAGES} SELECT group_id, array_to_string(list_sort(list_filter(ks, lambda k: right(k, 1) < '5')), '|') AS marks FROM groups WHERE left(group_id, 1) < '8'")
 def carry_marks(spark, d):
     g = all_groups(spark, d)
@@ -677,3 +751,8 @@ def review_query(what: str, condition: str) -> None:
 review_query("picks", "decision = 'pick'")
 review_query("marked", "decision = 'reject'")
 review_query("videos", "media_type = 'video' AND NOT is_screen_recording")
+
+
+@query("review_sets", f"{SQL}{STAGES} SELECT library_id, key FROM (SELECT library_id, unnest(ks) AS key FROM groups)")
+def review_sets(spark, d):
+    return reports.review_filter(views.assets(spark, d, False), views.decisions(spark, d), "sets", all_groups(spark, d)).select("library_id", "key")

@@ -24,7 +24,7 @@ def key_of(number: Column) -> Column:
 def assets(spark: SparkSession, sf_dir: str, prints: bool = True) -> DataFrame:
     """One asset per event, hashes from the document and the vector from the embedding of its number."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.sha2("text", 256).alias("original_hash"), F.sha2(F.concat_ws("/", F.substring("text", 1, 256), F.col("n_chars").cast("string")), 256).alias("content_hash"), F.col("n_chars").alias("byte_size"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.sha2("text", 256).alias("original_hash"), F.sha2(F.replace("text", F.lit(" "), F.lit("")), 256).alias("content_hash"), F.col("n_chars").alias("byte_size"))
     i = F.col("event_id")
     every = lambda n, r=0: i % n == r
     at = F.col("ts").cast("timestamp")
@@ -101,7 +101,7 @@ base AS (
   FROM events),
 assets AS (
   SELECT b.*, epoch_us(captured_at) AS raw_us, CASE WHEN captured_at > TIMESTAMP '2005-01-01' THEN epoch_us(captured_at) END AS us,
-    sha256(d.text) AS original_hash, sha256(substr(d.text, 1, 256) || '/' || d.n_chars) AS content_hash, d.n_chars AS byte_size, m.vector,
+    sha256(d.text) AS original_hash, sha256(replace(d.text, ' ', '')) AS content_hash, d.n_chars AS byte_size, m.vector,
     CASE WHEN uni >= 0.995 OR hi >= 0.97 OR lo >= 0.97 THEN 'obviouslyBroken' WHEN sharp < 12 OR (hi >= 0.15 AND lo >= 0.15) THEN 'probablyBad' ELSE 'ok' END AS tier,
     CASE WHEN uni >= 0.995 THEN ['Nearly one colour: covered lens or accidental press'] WHEN hi >= 0.97 THEN ['Almost entirely blown out'] WHEN lo >= 0.97 THEN ['Almost entirely black']
          ELSE list_filter([CASE WHEN sharp < 12 THEN CASE WHEN face THEN 'Face is out of focus' ELSE 'Out of focus or motion-blurred' END END, CASE WHEN hi >= 0.15 AND lo >= 0.15 THEN 'Severely clipped exposure' END], lambda x: x IS NOT NULL) END AS reasons,

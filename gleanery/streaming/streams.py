@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleanery.config import US, GroupConfig
+from gleanery.operators import reports
 
 
 def stream_assets(spark: SparkSession, path: str, schema, delay: str = "1 day") -> DataFrame:
@@ -75,3 +76,21 @@ def incremental_analysis(changes: DataFrame, analyse: Callable[[DataFrame], Data
 def stream_ledger(ledger: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Deletion batches appended as they come; what is pending depends on the time of reading, so reports read the files."""
     return ledger.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_pending_deletions(ledger: DataFrame, path: str, checkpoint: str, show: Callable[[DataFrame], None], now_us: Callable[[], int], days: int = 30) -> StreamingQuery:
+    """Keep the figure of pending deletions live: each batch of ``ledger(date_us, asset_keys)`` is written, then the report runs anew.
+
+    A repeated batch overwrites its own folder, so nothing is counted twice.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        show(read_pending(batch.sparkSession, path, now_us(), days))
+
+    return ledger.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
+
+
+def read_pending(spark: SparkSession, path: str, now_us: int, days: int = 30) -> DataFrame:
+    """What is pending at ``now_us``; it also changes without new batches, as old ones expire."""
+    return reports.pending_deletions(spark.read.parquet(path), now_us, days)

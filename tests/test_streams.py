@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from gleanery.operators import reports
 from gleanery.streaming import streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -49,6 +50,22 @@ def test_journal_folds_to_a_snapshot(spark, tmp_path):
     assert len(got) == 19 and got["k1"] == "reject" and "k2" not in got
 
 
+def test_pending_deletions_stay_live(spark, tmp_path):
+    schema, day = "date_us long, asset_keys array<string>", 86_400 * 1_000_000
+    src = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    seen, now = [], [40 * day]
+    show = lambda df: seen.extend((r.pending, r.oldest_us) for r in df.collect())
+    go = lambda: streams.stream_pending_deletions(src(), f"{tmp_path}/ledger", f"{tmp_path}/check", show, lambda: now[0]).awaitTermination()
+    put(spark, f"{tmp_path}/in", [(9 * day, ["old"] * 50), (39 * day, ["a"] * 100)], schema, 0)
+    go()
+    put(spark, f"{tmp_path}/in", [(41 * day, ["b"] * 7)], schema, 1)
+    now[0] = 42 * day
+    go()
+    assert seen == [(100, 39 * day), (107, 39 * day)]
+    whole = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    assert streams.read_pending(spark, f"{tmp_path}/ledger", 70 * day).collect() == reports.pending_deletions(whole, 70 * day).collect()
+
+
 def test_changes_are_debounced_and_versions_come_once(spark, tmp_path):
     schema = "library_id string, key string, ts timestamp, modification_date timestamp"
     at = lambda s: T0 + dt.timedelta(seconds=s)
