@@ -36,8 +36,9 @@ def stage_bursts(rows: DataFrame, engine: Engine) -> DataFrame:
     """Bursts of more than one image, or brackets if they show a bias progression; a lone member falls through."""
     own = F.col("kind").isNull() & (F.col("media_type") == "image") & F.col("burst_identifier").isNotNull()
     stats = rows.filter(own).groupBy("library_id", "burst_identifier").agg(*progression_aggregates()).filter("n > 1")
-    stats = stats.select("library_id", "burst_identifier", F.when(progression_filter(engine.group), F.lit("bracket")).otherwise(F.lit("burst")).alias("burst_kind"))
-    rows = rows.join(stats, ["library_id", "burst_identifier"], "left")
+    stats = stats.select("library_id", F.concat(F.lit("b"), "burst_identifier").alias("__burst"), F.when(progression_filter(engine.group), F.lit("bracket")).otherwise(F.lit("burst")).alias("burst_kind"))
+    spread = F.coalesce(F.concat(F.lit("b"), "burst_identifier"), F.concat(F.lit("k"), "key"))  # most rows have no burst
+    rows = rows.withColumn("__burst", spread).join(stats, ["library_id", "__burst"], "left").drop("__burst")
     hit = own & F.col("burst_kind").isNotNull()
     rows = rows.withColumn("seed", F.when(hit, F.concat(F.lit("burst:"), F.col("burst_identifier"))).otherwise(F.col("seed")))
     return rows.withColumn("kind", F.when(hit, F.col("burst_kind")).otherwise(F.col("kind"))).drop("burst_kind")
