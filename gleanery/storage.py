@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +48,15 @@ class Tables:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
+        self._delete(t._gleanery_path for t in tables)
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        """Delete all tables of this run but these, which the result still reads."""
+        needed = {t._gleanery_path for t in tables}
+        self._delete(path for path in (f"{self.root}/{i}" for i in range(1, self.n + 1)) if path not in needed)
+
+    def _delete(self, paths: Iterable[str]) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._gleanery_path)
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
