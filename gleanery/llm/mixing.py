@@ -40,7 +40,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, tables: Tables | None = None) -> DataFrame:
     """Per source: source, source_size, n, target. ``sizes(source, size)`` has a row per document.
 
     A round caps the sources whose share passes the cap; two numbers go through the driver each round.
@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1  # a row per source
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")))
-    per = Tables(sizes.sparkSession, "sources").write(per)
+    per = (tables or Tables(sizes.sparkSession, "sources")).write(per)
     whole = per.agg(F.sum("source_size")).first()[0] or 0
     cap, level = F.col("source_size") * most, 0.0
     while True:
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     size = F.col("__size")
     marked = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__u", u).withColumn("__wish", wish * (F.pow(size.cast("double"), F.lit(size_power)) if size_power else F.lit(1.0)))
     sizes = tables.write(marked.select("doc_id", "source", F.col("__size").alias("size"), F.col("__u").alias("u"), F.col("__wish").alias("wish")))
-    per = source_targets(sizes.select("source", "size"), weights, most).withColumnRenamed("source", "src")
+    per = source_targets(sizes.select("source", "size"), weights, most, tables).withColumnRenamed("source", "src")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + 1e-12).cast("long")
     per = per.withColumn("whole", whole).withColumn("part", F.greatest(rate - whole, F.lit(0.0)))
@@ -156,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     closing = ranked.join(every, same).filter(~_taken(F.col("rounds"), F.col("order"), F.col("size"))).filter(off < F.col("gap")).groupBy("src").agg(F.min(F.struct(off.alias("off"), "order")).alias("last"))
     every = every.join(closing, same, "left").select("s", "rounds", F.col("last.order").alias("closing"))
     plan = tables.write(per.join(every, same, "left").select("src", "source_size", "target", "whole", "part", "some", "rate", "rounds", "closing"))
-
+    tables.drop_but(plan)
     return _apply(marked, plan, [c for c in docs.columns if c not in OUT])
 
 
