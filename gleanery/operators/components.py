@@ -1,6 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-A round is a ``min`` per node (summed on the map side) and one join, so a node with a third of all edges is no burden.
+A round is a ``min`` per node (summed on the map side) and one join. The join streams all edges of a node through one task,
+in constant memory, so a node with a third of all edges makes that task long.
 Each round is a written table in the shared folder: lineage stays short and a lost executor costs one round.
 """
 
