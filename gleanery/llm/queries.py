@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import arc_warc, decontaminate, html_crf, hyperminhash, imatch, mixing, reply_trees, suffix_dedup, token_store, toxicity
+from gleanery.llm import arc_warc, decontaminate, hard_negatives, html_crf, hyperminhash, imatch, mixing, periodic_runs, recompression, reply_trees, suffix_dedup, token_store, toxicity
 from gleanery.storage import Tables
 
 # Production parameters.
@@ -77,6 +78,33 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.read_back(reply_trees.chat_conversations(rows.union(more)))
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf_dir, "documents"), 35).drop("kept")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, x = table(spark, sf_dir, "embeddings"), F.col("embedding")
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.filter(x.isNotNull() & finite).select("vec_id", label.alias("label"), F.transform(x, lambda v: F.floor(256 * v.cast("double"))).alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The edit of op13: for a tenth of ids, the words from a place on become repeats of the first ones there."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.summary(periodic_runs.find_runs(table(spark, sf_dir, "documents"), 24, 3, repeat_tail))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_cgk_decontamination": op9_cgk_decontamination,
     "op10_reply_trees": op10_reply_trees,
+    "op11_recompression": op11_recompression,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 
@@ -122,6 +153,22 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> top THEN top END AS refers_to
         FROM m""",
+    "op11_recompression": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+        k AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS k FROM s),
+        d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM k) WHERE c > 1),
+        p AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM d) GROUP BY doc_id),
+        o AS (SELECT w.doc_id, w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)) AS keep FROM w LEFT JOIN p ON p.doc_id = w.doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - len(keep) AS n_removed, sha256(array_to_string(list_transform(keep, lambda i: w[i]), ' ')) AS kept_sha256 FROM o""",
+    "op12_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS a, a.label = b.label AS same, b.vec_id AS b, list_inner_product(a.v, b.v)::BIGINT AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+        SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b))::INT AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+        FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND n.s <= p.s
+        QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 5""",
     "op10_reply_trees": """
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
