@@ -13,8 +13,9 @@ from gleanery.config import US, Engine
 from gleanery.functions.predicates import deck_rank, is_deletable, is_expired_utility, is_proposable, is_soft, usable_us
 from gleanery.functions.scalars import group_id, headline, utc_year
 from gleanery.operators.components import connected_components
-from gleanery.operators.pairs import near_duplicate_edges, pairs_in_window
+from gleanery.operators.pairs import edges_in_blocks
 from gleanery.operators.sessions import bracket_runs, progression_aggregates, progression_filter, sessionize
+from gleanery.ordering import Ranges
 from gleanery.storage import Tables
 
 
@@ -58,7 +59,7 @@ def make_members(assets: DataFrame, engine: Engine = Engine(), tables: Tables |
     brackets = tables.write(runs.join(good, run, "left_semi").select("library_id", "key", F.concat_ws(":", F.lit("run"), "session_id", "island", "chunk").alias("run_seed")))
 
     open_ = sessions.join(brackets, ["library_id", "key"], "left_anti")
-    edges = near_duplicate_edges(pairs_in_window(open_.filter("fingerprint is not null"), int(engine.group.pair_window * US), ["library_id", "session_id"]), open_, engine.near)
+    edges = edges_in_blocks(open_, ["library_id", "session_id"], int(engine.group.pair_window * US), engine.near)
     node = lambda c: F.concat_ws("/", "library_id", c)
     edges = tables.write(edges.select(node("key_a").alias("a"), node("key_b").alias("b"), "margin"))
     comps = tables.write(connected_components(edges.select("a", "b"), tables).select("node", "component"))
@@ -136,17 +137,30 @@ def apply_group_state(groups: DataFrame, states: DataFrame, settled: DataFrame)
 
 def deck_order(groups: DataFrame) -> DataFrame:
     """Rank of the kind, then certainty, then id, per library: ``position`` from 1."""
-    w = Window.partitionBy("library_id").orderBy(deck_rank(), F.desc("certainty"), "group_id")
-    return groups.withColumn("position", F.row_number().over(w))
+    return Ranges(groups, ["library_id"], deck_keys()).rank("position")
 
 
-def library_summary(assets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Seven counters per library."""
+def deck_keys() -> list[Column]:
+    return [deck_rank().asc(), F.desc("certainty"), F.asc("group_id")]
+
+
+def order_members(rows: DataFrame) -> DataFrame:
+    """Member order of whole libraries: ``place`` from 1."""
+    return Ranges(rows, ["library_id"], [member_order().asc()]).rank("place")
+
+
+def group_counts(members: DataFrame) -> DataFrame:
+    """Per library the exact copies and the groups, straight from ``members``: a group is a kind and a seed."""
+    g = members.groupBy("library_id", "kind", "seed").agg(F.count("*").alias("n"))
+    return g.groupBy("library_id").agg(F.sum(F.when(F.col("kind") == "exactDuplicate", F.col("n")).otherwise(0)).alias("dup"), F.count("*").alias("groups"))
+
+
+def library_summary(assets: DataFrame, members: DataFrame) -> DataFrame:
+    """Seven counters per library; ``members`` as ``make_members`` gives them."""
     video = (F.col("media_type") == "video") & ~F.col("is_screen_recording")
     broken = F.coalesce(F.col("quality.tier") == "obviouslyBroken", F.lit(False))
     a = assets.groupBy("library_id").agg(
         F.count("*").alias("total_assets"), F.count_if(video).alias("video_count"), F.count_if("is_screen_recording").alias("screen_recording_count"),
         F.count_if("is_screenshot").alias("screenshot_count"), F.count_if(broken).alias("failed_frame_count"),
     )
-    g = groups.groupBy("library_id").agg(F.sum(F.when(F.col("kind") == "exactDuplicate", F.size("member_keys")).otherwise(0)).alias("dup"), F.count("*").alias("groups"))
-    return a.join(g, "library_id", "left").select(*a.columns, F.coalesce("dup", F.lit(0)).alias("exact_duplicate_count"), F.coalesce("groups", F.lit(0)).alias("group_count"))
+    return a.join(group_counts(members), "library_id", "left").select(*a.columns, F.coalesce("dup", F.lit(0)).alias("exact_duplicate_count"), F.coalesce("groups", F.lit(0)).alias("group_count"))

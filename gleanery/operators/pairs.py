@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.config import US, GroupConfig, NearConfig
 from gleanery.functions.predicates import is_expired_utility
 from gleanery.functions.scalars import euclidean, pair_groupable, threshold_for_gap
+from gleanery.ordering import has_neighbour
 from gleanery.operators.sessions import sessionize
 
 
@@ -35,16 +38,11 @@ def candidate_pairs(assets: DataFrame, config: GroupConfig = GroupConfig()) -> D
 def candidate_assets(assets: DataFrame, config: GroupConfig = GroupConfig(), include_fingerprinted: bool = False) -> DataFrame:
     """Images that are in some pair and may need a fingerprint.
 
-    A row is in a pair if its nearest neighbour of the session, of any media type, is near enough; so two window
-    functions replace the pairs.
+    A row is in a pair if its nearest neighbour of the session, of any media type, is near enough; so no pairs are made.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("library_id", "session_id").orderBy("ts_us", "key")
-    near = F.least(F.col("ts_us") - F.lag("ts_us").over(w), F.lead("ts_us").over(w) - F.col("ts_us")) <= int(config.pair_window * US)
-    rows = sessionize(assets, config).withColumn("__near", near)
-    wanted = F.col("__near") & (F.col("media_type") == "image") & ~is_expired_utility() & F.col("burst_identifier").isNull()
-    return rows.filter(wanted if include_fingerprinted else wanted & F.col("fingerprint").isNull()).drop("__near")
+    rows = has_neighbour(sessionize(assets, config), ["library_id", "session_id"], "ts_us", int(config.pair_window * US))
+    wanted = (F.col("media_type") == "image") & ~is_expired_utility() & F.col("burst_identifier").isNull()
+    return rows.filter(wanted if include_fingerprinted else wanted & F.col("fingerprint").isNull())
 
 
 def near_duplicate_edges(pairs: DataFrame, prints: DataFrame, near: NearConfig = NearConfig(), metric: Callable[[Column, Column], Column] = euclidean) -> DataFrame:
@@ -58,3 +56,87 @@ def near_duplicate_edges(pairs: DataFrame, prints: DataFrame, near: NearConfig =
     same = (F.col("fa.revision") == F.col("fb.revision")) & (F.col("fa.crop") == F.col("fb.crop"))
     both = both.filter(same).withColumn("distance", metric(F.col("fa.vector"), F.col("fb.vector"))).filter("distance <= limit")
     return both.select("library_id", "key_a", "key_b", "gap_us", "distance", ((F.col("limit") - F.col("distance")) / F.col("limit")).alias("margin"))
+
+
+#: Rows that are compared with each other in one task: prints of a time bucket, and of the bucket before it.
+TILE = 2048
+#: Rows of a tile whose distances are computed at once.
+_STRIP = 256
+_LEFT, _RIGHT, _BOTH = 1, 2, 3
+
+
+def tile_edges(keys: np.ndarray, ts: np.ndarray, roles: np.ndarray, vectors: np.ndarray, window_us: int, near: NearConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, gap, distance, limit) of the pairs of a left row a and a right row b, the earlier one first, within their limit.
+
+    One matrix product has all distances; those at most a little over the limit are computed anew, as the sum of squared
+    differences in double.
+    """
+    steps = sorted(near.steps)
+    gaps, limits = np.array([int(g * US) for g, _ in steps]), np.append([x for _, x in steps], np.nan)
+    longest = min(window_us + 1, int(near.max_gap * US))
+    left, right = np.flatnonzero(roles & _LEFT), np.flatnonzero(roles & _RIGHT)
+    squares = (vectors * vectors).sum(axis=1)
+    out: list[tuple[np.ndarray, ...]] = []
+    for i in range(0, len(right), _STRIP):
+        r = right[i : i + _STRIP]
+        gap = ts[r][:, None] - ts[left][None, :]
+        # The first step whose gap is longer; none gives nan, which no distance is below.
+        limit = limits[np.searchsorted(gaps, gap, "right")]
+        about = squares[r][:, None] + squares[left][None, :] - 2 * (vectors[r] @ vectors[left].T)
+        slack = 1e-9 * (squares[r][:, None] + squares[left][None, :])
+        x, y = np.nonzero((gap >= 0) & (gap < longest) & (about <= limit * limit + slack + 1e-12))
+        a, b = left[y], r[x]
+        once = (ts[a] < ts[b]) | (keys[a] < keys[b])
+        a, b, limit = a[once], b[once], limit[x, y][once]
+        step = vectors[a] - vectors[b]
+        distance = np.sqrt(np.cumsum(step * step, axis=1)[:, -1]) if len(a) else np.zeros(0)
+        within = distance <= limit
+        a, b = a[within], b[within]
+        out.append((a, b, ts[b] - ts[a], distance[within], limit[within]))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def edges_in_blocks(rows: DataFrame, keys: list[str], window_us: int, near: NearConfig = NearConfig()) -> DataFrame:
+    """``near_duplicate_edges`` of all pairs of ``rows(keys, library_id, key, ts_us, fingerprint)`` within the window, with Euclidean distances.
+
+    No pair carries a vector. A row goes to its time bucket and to the next one, where it can only be the earlier half of
+    a pair; the pairs of a bucket come from one matrix product over its rows. A bucket with more than ``TILE`` rows is
+    dealt to tiles of both sides by a hash, so its rows are sent once for each tile of the other side.
+    """
+    by = list(dict.fromkeys(["library_id", *keys]))
+    f = F.col("fingerprint")
+    rows = rows.filter(F.col("key").isNotNull() & f["vector"].isNotNull() & (F.size(f["vector"]) > 0) & f["revision"].isNotNull() & f["crop"].isNotNull())
+    rows = rows.select(*by, "key", "ts_us", f["revision"].alias("revision"), f["crop"].alias("crop"), f["vector"].alias("vector"), F.floor(F.col("ts_us") / window_us).alias("b"))
+    own = rows.groupBy(*by, "b").agg(F.count("*").alias("n"))
+    both = own.select(*by, F.explode(F.array(F.struct("b", F.col("n").alias("own"), F.col("n").alias("all")), F.struct((F.col("b") + 1).alias("b"), F.lit(0).cast("long").alias("own"), F.col("n").alias("all")))).alias("x"))
+    crowded = both.groupBy(*by, F.col("x.b").alias("b")).agg(F.sum("x.own").alias("own"), F.sum("x.all").alias("all")).filter((F.col("all") > TILE) & (F.col("own") > 0))
+    crowded = crowded.select(*by, "b", F.ceil(F.col("own") / TILE).alias("rights"), F.ceil(F.col("all") / TILE).alias("lefts"))
+
+    dealt = rows.withColumn("x", F.explode(F.array(F.struct("b", F.lit(_BOTH).alias("role")), F.struct((F.col("b") + 1).alias("b"), F.lit(_LEFT).alias("role")))))
+    dealt = dealt.withColumn("b", F.col("x.b")).withColumn("role", F.col("x.role")).join(crowded, [*by, "b"], "left")
+    tile = lambda i, j, role: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(role).alias("role"))
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    zero = F.lit(0)
+    as_left = F.transform(each("rights"), lambda i: tile(i, place("lefts"), _LEFT))
+    as_right = F.transform(each("lefts"), lambda j: tile(place("rights"), j, _RIGHT))
+    tiles = (
+        F.when(F.col("rights").isNull(), F.when(F.col("role") == _BOTH, F.array(tile(zero, zero, _BOTH))).otherwise(F.array(tile(zero, zero, _LEFT))))
+        .when(F.col("role") == _BOTH, F.concat(as_left, as_right)).otherwise(as_left)
+    )
+    dealt = dealt.withColumn("t", F.explode(tiles)).select(*by, "b", "key", "ts_us", "revision", "crop", "vector", F.size("vector").alias("width"), F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.role").alias("role"))
+
+    def run(t: pa.Table) -> pa.Table:
+        names = t.column("key").to_numpy()
+        vectors = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        a, b, gap, distance, limit = tile_edges(names, t.column("ts_us").to_numpy(), t.column("role").to_numpy(), vectors, window_us, near)
+        library = t.column("library_id").take(pa.array(a, pa.int64()))
+        text = lambda x: pa.array(names[x], pa.string())
+        return pa.table({"library_id": library, "key_a": text(a), "key_b": text(b), "gap_us": pa.array(gap, pa.int64()), "distance": distance, "margin": (limit - distance) / limit})
+
+    # Prints of another revision, crop or length aren't comparable.
+    groups = dealt.groupBy(*by, "b", "i", "j", "revision", "crop", "width")
+    return groups.applyInArrow(run, "library_id string, key_a string, key_b string, gap_us long, distance double, margin double")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gleanery.config import US
 from gleanery.functions.predicates import is_contained_video
+from gleanery.operators.groups import deck_keys
+from gleanery.ordering import Ranges
 
 
 def pending_deletions(ledger: DataFrame, now_us: int, days: int = 30) -> DataFrame:
@@ -43,10 +45,9 @@ def review_progress(groups: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def systematic_sample(assets: DataFrame, n: int = 24) -> DataFrame:
     """Per library every max(count / n, 1)-th row by date, then key, at most n."""
-    w = Window.partitionBy("library_id").orderBy(F.col("captured_at").asc_nulls_first(), "key")
-    rows = assets.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy("library_id")))
-    step = F.greatest(F.floor(F.col("__n") / n), F.lit(1))
-    return rows.filter((F.col("__i") % step == 0) & (F.col("__i") < step * n)).drop("__i", "__n")
+    rows = Ranges(assets, ["library_id"], [F.col("captured_at").asc_nulls_first(), F.asc("key")]).rank("__rank", "__n")
+    step, i = F.greatest(F.floor(F.col("__n") / n), F.lit(1)), F.col("__rank") - 1
+    return rows.filter((i % step == 0) & (i < step * n)).drop("__rank", "__n")
 
 
 def storage_situation(sample: DataFrame) -> DataFrame:
@@ -61,19 +62,22 @@ def face_summary(detections: DataFrame) -> DataFrame:
 
 def newest_first(assets: DataFrame) -> DataFrame:
     """Order for pages: capture date descending, missing last, then key. ``place`` is per library."""
-    w = Window.partitionBy("library_id").orderBy(F.col("captured_at").desc_nulls_last(), "key")
-    return assets.withColumn("place", F.row_number().over(w))
+    return Ranges(assets, ["library_id"], [F.col("captured_at").desc_nulls_last(), F.asc("key")]).rank("place")
 
 
 def biggest_first(assets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Contained videos by size, then newest first."""
     rows = assets.filter(is_contained_video()).join(sizes, "key", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    w = Window.partitionBy("library_id").orderBy(F.desc("size"), F.col("captured_at").desc_nulls_last(), "key")
-    return rows.withColumn("place", F.row_number().over(w))
+    return Ranges(rows, ["library_id"], [F.desc("size"), F.col("captured_at").desc_nulls_last(), F.asc("key")]).rank("place")
 
 
-def next_undecided(deck: DataFrame, k: int) -> DataFrame:
-    """The first k pending groups of each library's deck."""
-    return deck.filter("state = 'pending'").withColumn("rank", F.row_number().over(Window.partitionBy("library_id").orderBy("position"))).filter(F.col("rank") <= k)
+def next_undecided(groups: DataFrame, k: int) -> DataFrame:
+    """The first k pending groups of each library in deck order, with their ``rank``.
+
+    The filter is a limit on the window, so each task keeps k groups of a library before anything is shuffled.
+    """
+    w = Window.partitionBy("library_id").orderBy(*deck_keys())
+    return groups.filter("state = 'pending'").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def category_filter(assets: DataFrame, category: str, groups: DataFrame | None = None) -> DataFrame:
@@ -88,12 +92,16 @@ def category_filter(assets: DataFrame, category: str, groups: DataFrame | None =
     return assets.filter(wanted[category])
 
 
-def review_filter(assets: DataFrame, decisions: DataFrame, what: str, groups: DataFrame | None = None) -> DataFrame:
-    """sets: members of any group, whatever its state (needs groups); picks or marked: assets with that decision; videos: contained videos with any."""
+def review_filter(assets: DataFrame, decisions: DataFrame, what: str, groups: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """What a review list holds.
+
+    sets: members of any group, whatever its state (needs groups). picks or marked: assets with that decision. videos: all
+    contained videos, decided or not, biggest first (needs ``sizes(key, size)``; adds size and place).
+    """
     if what == "sets":
         keys = groups.select("library_id", F.explode("member_keys").alias("key"))
         return assets.join(keys, ["library_id", "key"], "left_semi")
     if what == "videos":
-        return assets.filter(is_contained_video()).join(decisions.select("key"), "key", "left_semi")
+        return biggest_first(assets, sizes)
     value = {"picks": "pick", "marked": "reject"}[what]
     return assets.join(decisions.filter(F.col("decision") == value).select("key"), "key", "left_semi")

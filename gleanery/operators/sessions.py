@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.config import US, GroupConfig
 from gleanery.functions.predicates import is_expired_utility, usable_us
+from gleanery.ordering import has_neighbour
 
 
 def sessionize(assets: DataFrame, config: GroupConfig = GroupConfig()) -> DataFrame:
@@ -49,7 +50,4 @@ def progression_aggregates() -> list:
 def bracket_candidates(assets: DataFrame, config: GroupConfig = GroupConfig()) -> DataFrame:
     """Dated images, no screen captures, that have a neighbour within the bracket gap."""
     rows = assets.withColumn("ts_us", usable_us(config)).filter((F.col("media_type") == "image") & ~is_expired_utility() & F.col("ts_us").isNotNull())
-    w = Window.partitionBy("library_id").orderBy("ts_us", "key")
-    limit = int(config.bracket_max_gap * US)
-    near = F.least(F.col("ts_us") - F.lag("ts_us").over(w), F.lead("ts_us").over(w) - F.col("ts_us")) <= limit
-    return rows.withColumn("__near", near).filter("__near").drop("__near")
+    return has_neighbour(rows, ["library_id"], "ts_us", int(config.bracket_max_gap * US))

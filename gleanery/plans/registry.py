@@ -203,8 +203,17 @@ def bracket_candidates(spark, d):
 
 @query("near_duplicate_edges", f"{SQL}{_ALL_SESSIONS}, p AS (SELECT a.key AS key_a, b.key AS key_b, CASE WHEN b.us - a.us < 3000000 THEN 1.35 WHEN b.us - a.us < 120000000 THEN 1.30 WHEN b.us - a.us < 3600000000 THEN 1.20 END::DOUBLE AS lim, list_distance(a.vector, b.vector) AS dist FROM s1 a JOIN s1 b ON a.library_id = b.library_id AND a.sid = b.sid AND b.us - a.us BETWEEN 0 AND 3600000000 AND (b.us > a.us OR a.key < b.key)) SELECT key_a, key_b, round(dist, 6) AS distance, round((lim - dist) / lim, 6) AS margin FROM p WHERE dist <= lim")
 def near_duplicate_edges(spark, d):
+    rows = sessions.sessionize(views.assets(spark, d))
+    e = pairs.edges_in_blocks(rows, ["library_id", "session_id"], int(ENGINE.group.pair_window * US), ENGINE.near)
+    return e.select("key_a", "key_b", F.round("distance", 6).alias("distance"), F.round("margin", 6).alias("margin"))
+
+
+@query("edges_with_metric", ORACLE["near_duplicate_edges"].replace("list_distance(a.vector, b.vector)", "list_sum(list_transform(list_zip(a.vector, b.vector), lambda x: abs(x[1] - x[2]))) / 6"))
+def edges_with_metric(spark, d):
+    """Another distance: a sixth of the sum of differences."""
     a = views.assets(spark, d)
-    e = pairs.near_duplicate_edges(pairs.candidate_pairs(a), a, ENGINE.near)
+    sixth = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v) / 6
+    e = pairs.near_duplicate_edges(pairs.candidate_pairs(a), a, ENGINE.near, sixth)
     return e.select("key_a", "key_b", F.round("distance", 6).alias("distance"), F.round("margin", 6).alias("margin"))
 
 
@@ -265,7 +274,7 @@ kind_query("failed_frame_groups", "failedFrame")
 
 @query("library_summary", f"{SQL}{STAGES} SELECT a.*, coalesce(g.exact_duplicate_count, 0)::BIGINT AS exact_duplicate_count, coalesce(g.group_count, 0) AS group_count FROM (SELECT library_id, count(*) AS total_assets, count(*) FILTER (media_type = 'video' AND NOT is_screen_recording) AS video_count, count(*) FILTER (is_screen_recording) AS screen_recording_count, count(*) FILTER (is_screenshot) AS screenshot_count, count(*) FILTER (tier = 'obviouslyBroken') AS failed_frame_count FROM assets GROUP BY library_id) a LEFT JOIN (SELECT library_id, sum(CASE WHEN kind = 'exactDuplicate' THEN len(ks) ELSE 0 END) AS exact_duplicate_count, count(*) AS group_count FROM groups GROUP BY library_id) g USING (library_id)")
 def library_summary(spark, d):
-    return groups.library_summary(views.assets(spark, d, False), all_groups(spark, d))
+    return groups.library_summary(views.assets(spark, d, False), make_members(spark, d))
 
 
 _SETTLED = ", stl AS (SELECT 'a:' || lpad(event_id::VARCHAR, 9, '0') AS key, CASE WHEN event_id % 11 < 5 THEN 'resolved' WHEN event_id % 11 < 8 THEN 'dismissed' END AS state FROM events WHERE event_id % 11 < 8)"
@@ -291,12 +300,12 @@ def apply_group_state(spark, d):
     return groups.apply_group_state(g, some_states(g), views.settled(spark, d)).select("group_id", "state")
 
 
-@query("next_undecided", f"{SQL}{STAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY position) AS r FROM groups WHERE left(group_id, 1) >= '4') SELECT library_id, group_id, position FROM o WHERE r <= 5")
+@query("next_undecided", f"{SQL}{STAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY position) AS rank FROM groups WHERE left(group_id, 1) >= '4') SELECT library_id, group_id, rank FROM o WHERE rank <= 5")
 def next_undecided(spark, d):
-    g = groups.deck_order(all_groups(spark, d))
+    g = all_groups(spark, d)
     states = some_states(g).withColumnRenamed("state", "s")
     g = g.join(states, "group_id", "left").withColumn("state", F.coalesce("s", "state"))
-    return reports.next_undecided(g, 5).select("library_id", "group_id", "position")
+    return reports.next_undecided(g, 5).select("library_id", "group_id", "rank")
 
 
 # Ranking.
@@ -721,10 +730,8 @@ def biggest_first(spark, d):
 
 @query("member_order", f"{SQL} SELECT library_id, key, row_number() OVER (PARTITION BY library_id ORDER BY us NULLS LAST, key) AS place FROM assets")
 def member_order(spark, d):
-    from pyspark.sql import Window
-
-    a = views.assets(spark, d, False).withColumn("use_us", P.usable_us())
-    return a.select("library_id", "key", F.row_number().over(Window.partitionBy("library_id").orderBy(groups.member_order())).alias("place"))
+    a = views.assets(spark, d, False).select("library_id", "key", P.usable_us().alias("use_us"))
+    return groups.order_members(a).select("library_id", "key", "place")
 
 
 def filter_query(name: str, condition: str, category: str) -> None:
@@ -750,7 +757,13 @@ def review_query(what: str, condition: str) -> None:
 
 review_query("picks", "decision = 'pick'")
 review_query("marked", "decision = 'reject'")
-review_query("videos", "media_type = 'video' AND NOT is_screen_recording")
+
+
+@query("review_videos", f"{SQL} SELECT library_id, key, coalesce(byte_size, 0) AS size, row_number() OVER (PARTITION BY library_id ORDER BY coalesce(byte_size, 0) DESC, captured_at DESC NULLS LAST, key) AS place FROM assets WHERE media_type = 'video' AND NOT is_screen_recording")
+def review_videos(spark, d):
+    a = views.assets(spark, d, False)
+    sizes = a.select("key", F.col("byte_size").alias("size"))
+    return reports.review_filter(a, views.decisions(spark, d), "videos", sizes=sizes).select("library_id", "key", "size", "place")
 
 
 @query("review_sets", f"{SQL}{STAGES} SELECT library_id, key FROM (SELECT library_id, unnest(ks) AS key FROM groups)")

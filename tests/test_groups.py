@@ -155,5 +155,5 @@ def test_batches_can_be_undone(spark):
 
 def test_empty_library(spark):
     df = spark.createDataFrame([], asset_schema())
-    g = groups.make_groups(groups.make_members(df, Engine()), NOW_US)
-    assert g.count() == 0 and groups.library_summary(df, g).count() == 0
+    members = groups.make_members(df, Engine())
+    assert groups.make_groups(members, NOW_US).count() == 0 and groups.library_summary(df, members).count() == 0
