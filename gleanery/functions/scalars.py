@@ -94,18 +94,6 @@ def uniformity(samples: Column) -> Column:
     return F.when(n > 0, 1 - F.least(F.sqrt(var) / 255, F.lit(1.0))).otherwise(F.lit(1.0))
 
 
-def laplacian_variance(samples: Column, width: int, height: int) -> Column:
-    """Population variance of the 4-neighbour Laplacian inside a small plane of fixed size; 0 under 3 pixels."""
-    if width < 3 or height < 3:
-        return F.lit(0.0)
-    inner = F.array(*[F.lit(y * width + x + 1) for y in range(1, height - 1) for x in range(1, width - 1)])
-    at = lambda i: F.element_at(samples, i).cast("double")
-    values = F.transform(inner, lambda i: at(i) * 4 - at(i - 1) - at(i + 1) - at(i - width) - at(i + width))
-    n = float((width - 2) * (height - 2))
-    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / n
-    return F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / n
-
-
 def _half_up(x: float) -> int:
     return int(np.floor(x + 0.5)) if x >= 0 else int(np.ceil(x - 0.5))
 
@@ -122,7 +110,8 @@ def subject_crop(plane: np.ndarray, rect: tuple[float, float, float, float]) ->
     return plane[y0:y1, x0:x1] if x1 - x0 >= 3 and y1 - y0 >= 3 else plane
 
 
-def _sharpness(p: np.ndarray) -> float:
+def sharpness(p: np.ndarray) -> float:
+    """Population variance of the 4-neighbour Laplacian inside a plane; 0 under 3 pixels."""
     if min(p.shape) < 3:
         return 0.0
     inner = 4 * p[1:-1, 1:-1] - p[1:-1, :-2] - p[1:-1, 2:] - p[:-2, 1:-1] - p[2:, 1:-1]
@@ -135,16 +124,25 @@ METRICS = T.StructType(
 )
 
 
+def plane_metrics(p: np.ndarray, rect: tuple[float, float, float, float], face: bool) -> tuple:
+    """The six metrics of a plane of values from 0 to 255, in the order of ``METRICS``."""
+    if not p.size:
+        return (0.0, 0.0, 0.0, 0.0, 1.0, face)
+    return (sharpness(subject_crop(p, rect)), sharpness(p), float((p >= 252.5).mean()), float((p <= 2.5).mean()), 1 - min(float(p.std()) / 255, 1.0), face)
+
+
+@F.pandas_udf(T.DoubleType())
+def laplacian_variance(samples: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """``sharpness`` of planes of any size, given as arrays in row order."""
+    return pd.Series([sharpness(np.asarray(s, float).reshape(h, w)) for s, w, h in zip(samples, width, height, strict=True)])
+
+
 @F.pandas_udf(METRICS)
 def measure(width: pd.Series, height: pd.Series, samples: pd.Series, subject: pd.DataFrame) -> pd.DataFrame:
     """The six metrics of a plane and its subject rectangle (x, y, w, h, and is_face if known), in one pass over the pixels."""
-    rows = []
     faces = subject["is_face"] if "is_face" in subject else [False] * len(subject)
-    for w, h, s, rect, face in zip(width, height, samples, subject[["x", "y", "w", "h"]].itertuples(index=False), faces, strict=True):
-        p = np.asarray(s, float).reshape(h, w)
-        part = subject_crop(p, tuple(rect)) if p.size else p
-        none = not p.size
-        rows.append((_sharpness(part), _sharpness(p), 0.0 if none else float((p >= 252.5).mean()), 0.0 if none else float((p <= 2.5).mean()), 1.0 if none else 1 - min(p.std() / 255, 1), bool(face)))
+    rects = subject[["x", "y", "w", "h"]].itertuples(index=False)
+    rows = [plane_metrics(np.asarray(s, float).reshape(h, w), tuple(rect), bool(face)) for w, h, s, rect, face in zip(width, height, samples, rects, faces, strict=True)]
     return pd.DataFrame(rows, columns=METRICS.names)
 
 

@@ -95,7 +95,7 @@ def planes(spark, d) -> DataFrame:
 
 @query("laplacian_variance", f"WITH q AS (SELECT vec_id, {_PLANE} AS p FROM embeddings) SELECT vec_id, round(list_var_pop({_INNER}), 4) AS value FROM q")
 def laplacian_variance(spark, d):
-    return planes(spark, d).select("vec_id", F.round(S.laplacian_variance(F.col("p"), 8, 8), 4).alias("value"))
+    return planes(spark, d).select("vec_id", F.round(S.laplacian_variance("p", F.lit(8), F.lit(8)), 4).alias("value"))
 
 
 @query("clip_fraction", f"WITH q AS (SELECT vec_id, {_PLANE} AS p FROM embeddings) SELECT vec_id, round(len(list_filter(p, lambda x: x >= 150)) / 64.0::DOUBLE, 6) AS high, round(len(list_filter(p, lambda x: x <= 110)) / 64.0::DOUBLE, 6) AS low FROM q")
@@ -141,11 +141,58 @@ def commit_text(spark, d):
 # Sources.
 @query("read_assets", f"{SQL} SELECT library_id, count(*) AS n, count(us) AS dated, sum(raw_us // 1000000)::BIGINT AS total FROM assets GROUP BY library_id")
 def read_assets(spark, d):
-    a = views.assets(spark, d, False)
+    """The assets written in the library's schema, and read again."""
+    kept = Tables(spark, "assets").write(views.as_assets(views.assets(spark, d, False), sources.asset_schema()))
+    a = sources.read_assets(spark, kept._gleanery_path)
     us = F.unix_micros("captured_at")
     return a.groupBy("library_id").agg(F.count("*").alias("n"), F.count(P.usable_us()).alias("dated"), F.sum((us / US).cast("long")).alias("total"))
 
 
+@query("write_groups", f"{SQL}{STAGES} SELECT library_id, kind, count(*) AS n, sum(len(ks))::BIGINT AS members FROM groups GROUP BY library_id, kind")
+def write_groups(spark, d):
+    """The groups written by library, twice, and read again: a run overwrites what was there."""
+    g, path = all_groups(spark, d), f"{Tables(spark, 'written').root}/groups"
+    for _ in range(2):
+        sources.write_result(g, path)
+    return spark.read.parquet(path).groupBy("library_id", "kind").agg(F.count("*").alias("n"), F.sum(F.size("member_keys")).alias("members"))
+
+
+# A plane's pixels as SQL: the same values as views.renditions, p from its place and l the Laplacian inside [x0, x1) x [y0, y1).
+_PIXELS = "list_transform(embedding, lambda v: floor(greatest(0, least(255, CASE WHEN vec_id % 11 = 0 THEN 255 WHEN vec_id % 11 = 1 THEN 0 WHEN vec_id % 11 = 2 THEN 128 + v::DOUBLE ELSE (v::DOUBLE + 1) * 127.5 END)))::DOUBLE)"
+_RENDITIONS = f"""WITH r AS (SELECT vec_id, {_PIXELS} AS p, CASE WHEN vec_id % 3 = 0 THEN 16 ELSE 8 END AS w, CASE WHEN vec_id % 3 = 0 THEN 4 ELSE 8 END AS h, vec_id % 2 = 0 AS face, vec_id % 13 <> 5 AS whole FROM embeddings),
+    s AS (SELECT *, CASE WHEN face AND w = 8 THEN 2 WHEN w = 8 OR face THEN 0 ELSE 1 END AS x0, CASE WHEN face AND w = 8 THEN 6 WHEN w = 8 THEN 8 WHEN face THEN 16 ELSE 15 END AS x1, CASE WHEN face AND w = 8 THEN 2 ELSE 0 END AS y0, CASE WHEN face AND w = 8 THEN 6 ELSE h END AS y1 FROM r),
+    v AS (SELECT *, list_transform(list_filter(range(0, 64), lambda i: i % w > 0 AND i % w < w - 1 AND i // w > 0 AND i // w < h - 1), lambda i: 4 * p[i + 1] - p[i] - p[i + 2] - p[i + 1 - w] - p[i + 1 + w]) AS l,
+        list_transform(list_filter(range(0, 64), lambda i: i % w > x0 AND i % w < x1 - 1 AND i // w > y0 AND i // w < y1 - 1), lambda i: 4 * p[i + 1] - p[i] - p[i + 2] - p[i + 1 - w] - p[i + 1 + w]) AS ls FROM s),
+    m AS (SELECT vec_id, whole, face, list_var_pop(ls) AS subject, list_var_pop(l) AS global_, len(list_filter(p, lambda x: x >= 252.5)) / 64.0::DOUBLE AS hi, len(list_filter(p, lambda x: x <= 2.5)) / 64.0::DOUBLE AS lo, 1 - least(1, list_stddev_pop(p) / 255) AS uni FROM v)"""
+
+
+@query("measure_renditions", f"{_RENDITIONS} SELECT vec_id::VARCHAR AS key, CASE WHEN whole THEN round(subject, 4) END AS subject_sharpness, CASE WHEN whole THEN round(global_, 4) END AS global_sharpness, CASE WHEN whole THEN round(hi, 6) END AS clipped_highlights, CASE WHEN whole THEN round(lo, 6) END AS clipped_shadows, CASE WHEN whole THEN round(uni, 6) END AS frame_uniformity, true AS stand_in, CASE WHEN NOT whole THEN NULL WHEN uni >= 0.995 OR hi >= 0.97 OR lo >= 0.97 THEN 'obviouslyBroken' WHEN subject < 12 OR (hi >= 0.15 AND lo >= 0.15) THEN 'probablyBad' ELSE 'ok' END AS tier FROM m")
+def measure_renditions(spark, d):
+    """From a table of renditions to tiers; all are stand-ins here, as planes of 64 pixels are small."""
+    kept = Tables(spark, "renditions").write(views.renditions(spark, d))
+    m = sources.measure_renditions(sources.read_renditions(spark, kept._gleanery_path))
+    m = m.withColumn("tier", F.when(F.col("metrics").isNotNull(), S.classify_quality("metrics", ENGINE.quality)["tier"]))
+    shown_ = [F.round(f"metrics.{c}", n).alias(c) for c, n in (("subject_sharpness", 4), ("global_sharpness", 4), ("clipped_highlights", 6), ("clipped_shadows", 6), ("frame_uniformity", 6))]
+    return m.select("key", *shown_, F.col("scored_from_stand_in").alias("stand_in"), "tier")
+
+
+@query("subject_rect", """WITH f AS (SELECT l_orderkey AS key, l_discount::DOUBLE * 5 AS x, l_tax::DOUBLE * 5 AS y, l_quantity::DOUBLE / 100 AS w, l_linenumber::DOUBLE / 10 AS h, l_linenumber AS n FROM lineitem WHERE l_linenumber > 1),
+    b AS (SELECT key, first(x ORDER BY w * h DESC, n, x, y, w, h) AS x, first(y ORDER BY w * h DESC, n, x, y, w, h) AS y, first(w ORDER BY w * h DESC, n, x, y, w, h) AS w, first(h ORDER BY w * h DESC, n, x, y, w, h) AS h FROM f GROUP BY key),
+    g AS (SELECT key, greatest(0, least(1, x - w * 0.05)) AS x0, greatest(0, least(1, y - h * 0.05)) AS y0, greatest(0, least(1, x + w * 1.05)) AS x1, greatest(0, least(1, y + h * 1.05)) AS y1 FROM b)
+    SELECT o_orderkey AS key, round(CASE WHEN x0 IS NOT NULL THEN x0 WHEN o_orderkey % 2 = 0 THEN 0.25 ELSE 0 END, 6)::DOUBLE AS x, round(CASE WHEN x0 IS NOT NULL THEN 1 - y0 - (y1 - y0) WHEN o_orderkey % 2 = 0 THEN 0.25 ELSE 0 END, 6)::DOUBLE AS y,
+        round(CASE WHEN x0 IS NOT NULL THEN x1 - x0 WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 1 END, 6)::DOUBLE AS w, round(CASE WHEN x0 IS NOT NULL THEN y1 - y0 WHEN o_orderkey % 2 = 0 THEN 0.25 ELSE 1 END, 6)::DOUBLE AS h
+    FROM orders LEFT JOIN g ON g.key = o_orderkey""")
+def subject_rect(spark, d):
+    """An order's further lines as faces; a fixed salient area for every second order."""
+    n = lambda c, k: (F.col(c).cast("double") * k)
+    face = F.struct("l_linenumber", n("l_discount", 5).alias("x"), n("l_tax", 5).alias("y"), (F.col("l_quantity").cast("double") / 100).alias("w"), (F.col("l_linenumber").cast("double") / 10).alias("h"))
+    found = table(spark, d, "lineitem").filter("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(face)), lambda f: F.struct(*(f[c].alias(c) for c in "xywh"))).alias("faces"))
+    salient = F.when(F.col("o_orderkey") % 2 == 0, F.struct(F.lit(0.25).alias("x"), F.lit(0.5).alias("y"), F.lit(0.5).alias("w"), F.lit(0.25).alias("h")))
+    rows = table(spark, d, "orders").join(found, "o_orderkey", "left")
+    r = rows.select(F.col("o_orderkey").alias("key"), S.subject_rect(F.coalesce("faces", F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")), salient).alias("r"))
+    return r.select("key", *(F.round(f"r.{c}", 6).alias(c) for c in "xywh"))
+
+
 @query("map_asset_codes", "SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'image' WHEN 2 THEN 'video' WHEN 3 THEN 'audio' ELSE 'unknown' END AS media_type, CASE event_id % 6 WHEN 1 THEN 'userLibrary' WHEN 2 THEN 'cloudShared' WHEN 4 THEN 'iTunesSynced' ELSE 'other' END AS source_type, (user_id & 4) <> 0 AS is_screenshot, (user_id & 8) <> 0 AS is_live_photo FROM events")
 def map_asset_codes(spark, d):
     i = F.col("event_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.config import Engine, GroupConfig, NearConfig
 from gleanery.functions.scalars import classify_quality
@@ -55,6 +56,24 @@ def assets(spark: SparkSession, sf_dir: str, prints: bool = True) -> DataFrame:
     return rows.withColumn("vec_id", i % n).join(vectors, "vec_id", "left").withColumn("fingerprint", print_).drop("vec_id", "embedding")
 
 
+def as_assets(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the columns of ``schema``, null where it has none."""
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plane of 64 pixels for each embedding, 8 x 8 or 16 x 4; some white, black, flat or broken; every second with a face."""
+    i, x = F.col("vec_id"), F.col("embedding")
+    value = lambda v: F.when(i % 11 == 0, 255).when(i % 11 == 1, 0).when(i % 11 == 2, 128 + v.cast("double")).otherwise((v.cast("double") + 1) * 127.5)
+    octets = F.transform(x, lambda v: F.lpad(F.hex(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value(v)))).cast("long")), 2, "0"))
+    rect = lambda a, b: F.struct(F.lit(a).alias("x"), F.lit(a).alias("y"), F.lit(b).alias("w"), F.lit(b).alias("h"))
+    return table(spark, sf_dir, "embeddings").select(
+        i.cast("string").alias("key"), F.when(i % 3 == 0, 16).otherwise(8).alias("width"), F.when(i % 3 == 0, 4).otherwise(8).alias("height"),
+        F.when(i % 13 != 5, F.unhex(F.array_join(octets, ""))).alias("pixels"), F.when(i % 2 == 0, F.array(rect(0.0, 0.1), rect(0.25, 0.5), rect(0.5, 0.5))).alias("faces"),
+        F.lit(None).cast("struct<x:double,y:double,w:double,h:double>").alias("saliency"), (i % 17 == 0).alias("fallback"),
+    )
+
+
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a decision journal: seq, key (of the user), value; null removes."""
     t = F.col("event_type")

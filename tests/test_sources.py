@@ -1,6 +1,7 @@
 """Schemas, code mapping, byte proof, writers, rectangles."""
 
 import hashlib
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -58,3 +59,70 @@ def test_planes_of_each_tier(spark):
     df = df.withColumn("metrics", S.measure("w", "h", "p", "subject")).withColumn("q", S.classify_quality())
     got = {r.k: r.q.tier for r in df.collect()}
     assert got == {"sharp": "ok", "soft": "probablyBad", "white": "obviouslyBroken", "black": "obviouslyBroken", "shallow": "ok"}
+
+
+def numpy_metrics(p, rect, face):
+    """Written out pixel by pixel with shifted copies of the plane."""
+
+    def variance(q):
+        if min(q.shape) < 3:
+            return 0.0
+        c = q[1:-1, 1:-1]
+        return float(np.var(c * 4 - q[1:-1, :-2] - q[1:-1, 2:] - q[:-2, 1:-1] - q[2:, 1:-1]))
+
+    h, w = p.shape
+    x, y, rw, rh = rect
+    x0, y0, x1, y1 = (int(np.floor(v + 0.5)) for v in ((x + rw * 0.05) * w, (y + rh * 0.05) * h, (x + rw * 0.95) * w, (y + rh * 0.95) * h))
+    return (variance(p[y0:y1, x0:x1]), variance(p), float(np.mean(p >= 252.5)), float(np.mean(p <= 2.5)), 1 - min(float(np.std(p)) / 255, 1), face)
+
+
+def test_renditions_of_any_size(spark):
+    g = np.random.default_rng(1)
+    planes = {"large": g.integers(0, 256, (256, 256)), "wide": g.integers(0, 256, (40, 900)), "flat": np.full((200, 200), 90), "small": g.integers(0, 256, (2, 2)), "face": g.integers(0, 256, (256, 256))}
+    faces = {"face": [(0.1, 0.1, 0.2, 0.2), (0.4, 0.3, 0.4, 0.5)]}
+    rows = [(k, p.shape[1], p.shape[0], bytearray(p.astype(np.uint8).tobytes()), faces.get(k), None, k == "wide") for k, p in planes.items()]
+    rows += [("short", 10, 10, bytearray(b"abc"), [], None, False), ("missing", 10, 10, None, None, None, None), ("none", None, None, bytearray(b""), None, None, None)]
+    got = {r.key: r for r in A.measure_renditions(spark.createDataFrame(rows, A.RENDITIONS)).collect()}
+    for k, p in planes.items():
+        # The face grown by 5 % a side, measured from the top.
+        rect = (0.38, 1 - (0.3 - 0.025 + 0.55), 0.44, 0.55) if k == "face" else (0.0, 0.0, 1.0, 1.0)
+        assert np.allclose(list(got[k].metrics), numpy_metrics(p.astype(float), rect, k == "face")), k
+    assert all(got[k].metrics is None for k in ("short", "missing", "none"))
+    assert {k: r.scored_from_stand_in for k, r in got.items()} == {"large": False, "face": False, "wide": True, "flat": False, "small": True, "short": True, "missing": True, "none": True}
+
+
+def test_planes_as_arrays_are_measured_alike(spark):
+    p = np.random.default_rng(2).integers(0, 256, (256, 256)).astype(float)
+    df = spark.createDataFrame([(p.ravel().tolist(), 256, 256)], "p array<double>, w int, h int")
+    assert np.isclose(df.select(S.laplacian_variance("p", "w", "h").alias("v")).first().v, numpy_metrics(p, (0, 0, 1, 1), False)[1])
+
+
+def test_digests_of_equal_types_and_odd_rows(spark):
+    rows = [("a", 2, False, True, b"z"), ("a", 1, True, True, b"b"), ("a", 1, False, True, b"a"), (None, 1, True, True, b"n"), ("e", 1, True, True, b""), ("u", 1, True, None, b"x"), ("a2", 10, False, True, b"t"), ("a2", 9, True, True, b"n")]
+    df = spark.createDataFrame(rows, "key string, type_code long, is_primary boolean, readable boolean, bytes binary")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert {r.key: r.original_hash for r in A.original_hash(df).collect()} == {"a": sha(b"1a1b2z"), None: sha(b"1n"), "e": sha(b"1"), "u": None, "a2": sha(b"9n10t")}
+    assert A.original_hash(df.filter("false")).count() == 0
+
+
+def peak_of_workers():
+    """Largest resident size that a Python worker of this test run has had, in MB."""
+    sizes = [0]
+    for p in os.listdir("/proc"):
+        try:
+            with open(f"/proc/{p}/cmdline") as f, open(f"/proc/{p}/status") as s:
+                if "pyspark.daemon" in f.read():
+                    sizes += [int(x.split()[1]) / 1024 for x in s if x.startswith("VmHWM")]
+        except OSError:
+            pass
+    return max(sizes)
+
+
+def test_a_large_asset_is_digested_part_by_part(spark):
+    part, n = 10 << 20, 20
+    df = spark.range(n).select(F.lit("big").alias("key"), (F.col("id") + 1).alias("type_code"), (F.col("id") == 0).alias("is_primary"), F.lit(True).alias("readable"), F.encode(F.repeat(F.lit("x"), part), "UTF-8").alias("bytes"))
+    want = hashlib.sha256()
+    for i in range(n):
+        want.update(str(i + 1).encode() + b"x" * part)
+    assert [tuple(r) for r in A.original_hash(df).collect()] == [("big", want.hexdigest())]
+    assert 0 < peak_of_workers() < 1000
