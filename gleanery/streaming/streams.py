@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleanery.config import US, GroupConfig
-from gleanery.operators import reports
+from gleanery.sources.ledgers import FOLD_AFTER, Journal, Ledger
 
 
 def stream_assets(spark: SparkSession, path: str, schema, delay: str = "1 day") -> DataFrame:
@@ -43,18 +43,18 @@ def stream_decisions(journal: DataFrame) -> DataFrame:
     return journal.groupBy("key").agg(F.max_by("value", "seq").alias("decision"), F.max("seq").alias("seq"))
 
 
-def keep_snapshot(latest: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch's changes as Parquet; ``read_snapshot`` folds them. A repeated batch adds nothing new."""
+def keep_snapshot(journal: DataFrame, path: str, checkpoint: str, fold_after: int = FOLD_AFTER) -> StreamingQuery:
+    """Append each batch of ``journal(seq, key, value)`` to a ``Journal``, which folds itself; a repeated batch adds nothing."""
+    kept = Journal(journal.sparkSession, path, fold_after)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        kept.append(batch, number, source=checkpoint)
 
-    return latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+    return journal.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    return rows.groupBy("key").agg(F.max_by("decision", "seq").alias("decision")).filter("decision is not null")
+    return Journal(spark, path).read()
 
 
 def debounce_changes(changes: DataFrame, quiet: str = "2 seconds", delay: str = "10 seconds") -> DataFrame:
@@ -74,23 +74,24 @@ def incremental_analysis(changes: DataFrame, analyse: Callable[[DataFrame], Data
 
 
 def stream_ledger(ledger: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Deletion batches appended as they come; what is pending depends on the time of reading, so reports read the files."""
-    return ledger.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Deletion batches of ``ledger(date_us, asset_keys)`` as they come, each once."""
+    return stream_pending_deletions(ledger, path, checkpoint, lambda _: None, lambda: 0)
 
 
 def stream_pending_deletions(ledger: DataFrame, path: str, checkpoint: str, show: Callable[[DataFrame], None], now_us: Callable[[], int], days: int = 30) -> StreamingQuery:
     """Keep the figure of pending deletions live: each batch of ``ledger(date_us, asset_keys)`` is written, then the report runs anew.
 
-    A repeated batch overwrites its own folder, so nothing is counted twice.
+    A repeated batch is known by its number and checkpoint, so nothing is counted twice.
     """
+    kept = Ledger(ledger.sparkSession, path)
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        show(read_pending(batch.sparkSession, path, now_us(), days))
+        kept.append(f"{checkpoint}:{number}", batch)
+        show(kept.pending(now_us(), days))
 
     return ledger.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
 
 
 def read_pending(spark: SparkSession, path: str, now_us: int, days: int = 30) -> DataFrame:
     """What is pending at ``now_us``; it also changes without new batches, as old ones expire."""
-    return reports.pending_deletions(spark.read.parquet(path), now_us, days)
+    return Ledger(spark, path).pending(now_us, days)

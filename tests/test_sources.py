@@ -23,17 +23,11 @@ def test_byte_proof_needs_the_primary_and_every_byte(spark):
     assert got == {"a": hashlib.sha256(b"1x5y").hexdigest(), "b": None, "c": None, "d": None}
 
 
-def test_results_ledgers_and_snapshots(spark, tmp_path):
+def test_results_are_overwritten(spark, tmp_path):
     groups = spark.createDataFrame([("l1", "g1"), ("l2", "g2")], "library_id string, group_id string")
     for _ in range(2):
         A.write_result(groups, f"{tmp_path}/groups")
     assert spark.read.parquet(f"{tmp_path}/groups").count() == 2
-    for _ in range(2):
-        A.append_deletions(spark.createDataFrame([(1, ["k"])], "date_us long, asset_keys array<string>"), f"{tmp_path}/ledger")
-    assert spark.read.parquet(f"{tmp_path}/ledger").count() == 2
-    journal = spark.createDataFrame([(1, "a", "pick"), (2, "a", None), (1, "b", "reject")], "seq long, key string, value string")
-    A.snapshot_decisions(journal, f"{tmp_path}/snap")
-    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/snap").collect()] == [("b", "reject")]
     assert A.read_assets(spark, f"{tmp_path}/groups").count() == 2
 
 

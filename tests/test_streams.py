@@ -42,7 +42,7 @@ def test_journal_folds_to_a_snapshot(spark, tmp_path):
     schema = "seq long, key string, value string"
     put(spark, f"{tmp_path}/in", [(i, f"k{i}", "pick") for i in range(20)], schema, 0)
     src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    go = lambda: streams.keep_snapshot(streams.stream_decisions(src), f"{tmp_path}/snap", f"{tmp_path}/check").awaitTermination()
+    go = lambda: streams.keep_snapshot(src, f"{tmp_path}/snap", f"{tmp_path}/check").awaitTermination()
     go()
     put(spark, f"{tmp_path}/in", [(30, "k1", "reject"), (31, "k2", None)], schema, 1)
     go()
@@ -85,6 +85,20 @@ def test_only_the_newest_version_is_analysed(spark, tmp_path):
     q = streams.incremental_analysis(src, lambda df: df.withColumn("y", F.col("x") * 10), lambda df, _: seen.extend((r.key, r.y) for r in df.collect()), f"{tmp_path}/check")
     q.awaitTermination()
     assert sorted(seen) == [("a", 20), ("b", 30)]
-    q = streams.stream_ledger(src, f"{tmp_path}/out", f"{tmp_path}/check2")
-    q.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_latest_decisions_stream(spark, tmp_path):
+    schema = "seq long, key string, value string"
+    put(spark, f"{tmp_path}/in", [(1, "a", "pick"), (2, "a", None), (3, "b", "reject")], schema, 0)
+    src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    drained(streams.stream_decisions(src), "latest", "complete")
+    assert sorted(map(tuple, spark.table("latest").collect())) == [("a", None, 2), ("b", "reject", 3)]
+
+
+def test_a_ledger_stream_writes_each_batch_once(spark, tmp_path):
+    schema = "date_us long, asset_keys array<string>"
+    src = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    for k in range(3):
+        put(spark, f"{tmp_path}/in", [(k, [f"k{k}"] * (k + 1))], schema, k)
+        streams.stream_ledger(src(), f"{tmp_path}/ledger", f"{tmp_path}/check").awaitTermination()
+    assert streams.Ledger(spark, f"{tmp_path}/ledger").total().first().total == 6
