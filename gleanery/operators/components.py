@@ -1,23 +1,38 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds.
+"""Connected components of an edge table, by alternating large-star and small-star rounds; at once or batch by batch.
 
-A round is a ``min`` per node (summed on the map side) and one join. The join streams all edges of a node through one task,
-in constant memory, so a node with a third of all edges makes that task long.
-Each round is a written table in the shared folder: lineage stays short and a lost executor costs one round.
+A round is a ``min`` per node (summed on the map side) and one join. Nodes with a large share of all edges would make one
+task of that join long: they are few, so they are joined by broadcast and their edges stay where they are. Each round is a
+written table in the shared folder: lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.storage import Tables
+from gleanery.storage import Tables, Versions
 
+#: A node with more edges than both is a hub: so many, and the given share of all. So there are at most 2 / HUB_SHARE hubs.
+HUB_EDGES, HUB_SHARE = 50_000, 1e-4
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _with_lows(edges: DataFrame, lows: DataFrame, all_edges: int) -> DataFrame:
+    """``edges(a, b)`` with ``lows(a, m, n)``; the edges of hubs are joined where they are."""
+    limit = max(HUB_EDGES, int(all_edges * HUB_SHARE))
+    hubs = F.broadcast(lows.filter(F.col("n") > limit).select("a", "m"))
+    rest = lows.filter(F.col("n") <= limit).select("a", "m")
+    if all_edges <= limit:
+        return edges.join(rest, "a")
+    marked = edges.join(hubs, "a", "left")
+    at_hubs = marked.filter("m is not null").select("a", "b", "m")
+    return marked.filter("m is null").select("a", "b").join(rest, "a").select("a", "b", "m").unionByName(at_hubs)
+
+
+def _star(edges: DataFrame, large: bool, all_edges: int) -> DataFrame:
     """Large: link each node's larger neighbours to its smallest one; small: the smaller ones and itself."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = both.join(low, "a")
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    joined = _with_lows(both, low, all_edges)
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -28,7 +43,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def _chained(edges: DataFrame) -> DataFrame:
     """Nodes that keep the edges (a larger, b smaller) from being stars around the smallest node."""
     lows = edges.groupBy("a").agg(F.count("*").alias("n"))
-    return lows.filter("n > 1").select("a").union(lows.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a"))
+    return lows.filter("n > 1").select("a").union(lows.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a"))
+
+
+def _clean(edges: DataFrame) -> DataFrame:
+    return edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def connected_components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
@@ -38,12 +57,67 @@ def connected_components(edges: DataFrame, tables: Tables | None = None) -> Data
     without an edge isn't listed.
     """
     tables = tables or Tables(edges.sparkSession, "components")
-    edges = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = tables.write(edges)
+    now = tables.write(_clean(edges))
     # Done when no edge ends in a node that has a smaller neighbour, and no node has two: all are stars.
     while not _chained(now).isEmpty():
-        then = tables.write(_star(_star(now, True), False))
-        tables.drop(now)
+        n = now.count()
+        mid = tables.write(_star(now, True, n))
+        then = tables.write(_star(mid, False, mid.count()))
+        tables.drop(now, mid)
         now = then
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+class LiveComponents:
+    """Components that are kept between runs and grow with batches of edges.
+
+    What is kept are the stars (node, component) and, apart, components that have since joined smaller ones. A batch looks
+    its ends up, and only the graph of the labels found is solved; new nodes and changed labels are appended. Once the
+    changed labels are more than ``fold`` of the stars, they are folded into them. A batch that was applied before changes
+    nothing, and readers see whole batches.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, node_type: str = "string", fold: float = 0.1):
+        self.versions, self.fold = Versions(spark, path), fold
+        self.stars, self.moves = f"node {node_type}, component {node_type}", f"was {node_type}, component {node_type}"
+
+    def _read(self, state: dict) -> tuple[DataFrame, DataFrame]:
+        return self.versions.get(state.get("stars", []), self.stars), self.versions.get(state.get("moves", []), self.moves)
+
+    @staticmethod
+    def _current(stars: DataFrame, moves: DataFrame) -> DataFrame:
+        held = moves.withColumnRenamed("component", "__now")
+        return stars.join(held, stars["component"] == held["was"], "left").select("node", F.coalesce("__now", "component").alias("component"))
+
+    def read(self) -> DataFrame:
+        """(node, component), component being the smallest node that is reachable."""
+        return self._current(*self._read(self.versions.latest()[1]))
+
+    def add(self, edges: DataFrame, batch: int) -> bool:
+        """Whether the batch of ``edges(a, b)`` was new; ``batch`` is a growing number."""
+        number, state = self.versions.latest()
+        if batch <= state.get("batch", -1):
+            return False
+        tables = Tables(edges.sparkSession, "live")
+        stars, moves = self._read(state)
+        new = tables.write(_clean(edges))
+        ends = tables.write(new.select(F.col("a").alias("node")).union(new.select("b")).distinct())
+        found = self._current(stars.join(ends, "node", "left_semi"), moves)
+        labels = tables.write(ends.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("fresh")))
+        side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+        graph = new.join(side("a"), "a").join(side("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+        joined = tables.write(connected_components(graph, tables).filter("node <> component"))
+        # Fresh nodes are stars at once; labels that were kept before move, and so do those that had moved to them.
+        fresh = labels.filter("fresh").select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        old = joined.join(labels.filter("fresh").select("node"), "node", "left_anti").select(F.col("node").alias("was"), "component")
+        again = joined.withColumnsRenamed({"node": "__label", "component": "__now"})
+        earlier = moves.join(again, moves["component"] == again["__label"], "left").select("was", F.coalesce("__now", "component").alias("component"))
+        put = self.versions.put
+        state = state | {"batch": batch, "stars": [*state.get("stars", []), put(fresh)], "moves": [put(earlier.union(old))]}
+        stars, moves = self._read(state)
+        if moves.count() > self.fold * stars.count() or len(state["stars"]) > 50:
+            state = state | {"stars": [put(self._current(stars, moves))], "moves": []}
+        self.versions.commit(number, state)
+        tables.drop_but()
+        return True

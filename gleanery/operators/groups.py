@@ -45,18 +45,33 @@ def stage_bursts(rows: DataFrame, engine: Engine) -> DataFrame:
     return rows.withColumn("kind", F.when(hit, F.col("burst_kind")).otherwise(F.col("kind"))).drop("burst_kind")
 
 
+def early_kinds(assets: DataFrame, engine: Engine = Engine()) -> DataFrame:
+    """The assets with use_us, raw_us and, for exact copies, old screen captures and bursts, kind and seed."""
+    return stage_bursts(stage_utility(stage_duplicates(with_times(assets, engine))), engine)
+
+
+def with_times(assets: DataFrame, engine: Engine = Engine()) -> DataFrame:
+    return assets.withColumn("use_us", usable_us(engine.group)).withColumn("raw_us", F.unix_micros("captured_at"))
+
+
 def make_members(assets: DataFrame, engine: Engine = Engine(), tables: Tables | None = None) -> DataFrame:
     """Every grouped asset with its kind, seed and, for near duplicates, the group's margin."""
     tables = tables or Tables(assets.sparkSession, "groups")
-    rows = assets.withColumn("use_us", usable_us(engine.group)).withColumn("raw_us", F.unix_micros("captured_at"))
-    rows = tables.write(stage_bursts(stage_utility(stage_duplicates(rows)), engine))
+    return late_kinds(tables.write(early_kinds(assets, engine)), engine, tables)
+
+
+def late_kinds(rows: DataFrame, engine: Engine, tables: Tables) -> DataFrame:
+    """The members among ``rows`` (with ``early_kinds``): those of early kinds, and what sessions and frames add.
+
+    A seed tells a group from others of its kind, and depends on its members only.
+    """
     left = rows.filter(F.col("kind").isNull() & (F.col("media_type") == "image"))
     sessions = tables.write(sessionize(left, engine.group))
 
     run = ["library_id", "session_id", "island", "chunk"]
     runs = bracket_runs(sessions, engine.group)
-    good = runs.groupBy(run).agg(*progression_aggregates()).filter(progression_filter(engine.group)).select(run)
-    brackets = tables.write(runs.join(good, run, "left_semi").select("library_id", "key", F.concat_ws(":", F.lit("run"), "session_id", "island", "chunk").alias("run_seed")))
+    good = runs.groupBy(run).agg(*progression_aggregates(), F.min("key").alias("first_key")).filter(progression_filter(engine.group)).select(*run, "first_key")
+    brackets = tables.write(runs.join(good, run).select("library_id", "key", F.concat(F.lit("run:"), "first_key").alias("run_seed")))
 
     open_ = sessions.join(brackets, ["library_id", "key"], "left_anti")
     edges = edges_in_blocks(open_, ["library_id", "session_id"], int(engine.group.pair_window * US), engine.near)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,11 +113,12 @@ def edges_in_blocks(rows: DataFrame, keys: list[str], window_us: int, near: Near
     rows = rows.select(*by, "key", "ts_us", f["revision"].alias("revision"), f["crop"].alias("crop"), f["vector"].alias("vector"), F.floor(F.col("ts_us") / window_us).alias("b"))
     own = rows.groupBy(*by, "b").agg(F.count("*").alias("n"))
     both = own.select(*by, F.explode(F.array(F.struct("b", F.col("n").alias("own"), F.col("n").alias("all")), F.struct((F.col("b") + 1).alias("b"), F.lit(0).cast("long").alias("own"), F.col("n").alias("all")))).alias("x"))
-    crowded = both.groupBy(*by, F.col("x.b").alias("b")).agg(F.sum("x.own").alias("own"), F.sum("x.all").alias("all")).filter((F.col("all") > TILE) & (F.col("own") > 0))
-    crowded = crowded.select(*by, "b", F.ceil(F.col("own") / TILE).alias("rights"), F.ceil(F.col("all") / TILE).alias("lefts"))
+    sizes = both.groupBy(*by, F.col("x.b").alias("b")).agg(F.sum("x.own").alias("own"), F.sum("x.all").alias("all")).filter("all > 1 and own > 0")
+    split = F.col("all") > TILE
+    sizes = sizes.select(*by, "b", F.when(split, F.ceil(F.col("own") / TILE)).alias("rights"), F.when(split, F.ceil(F.col("all") / TILE)).alias("lefts"))
 
     dealt = rows.withColumn("x", F.explode(F.array(F.struct("b", F.lit(_BOTH).alias("role")), F.struct((F.col("b") + 1).alias("b"), F.lit(_LEFT).alias("role")))))
-    dealt = dealt.withColumn("b", F.col("x.b")).withColumn("role", F.col("x.role")).join(crowded, [*by, "b"], "left")
+    dealt = dealt.withColumn("b", F.col("x.b")).withColumn("role", F.col("x.role")).join(sizes, [*by, "b"])
     tile = lambda i, j, role: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(role).alias("role"))
     place = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
     each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -129,14 +131,46 @@ def edges_in_blocks(rows: DataFrame, keys: list[str], window_us: int, near: Near
     )
     dealt = dealt.withColumn("t", F.explode(tiles)).select(*by, "b", "key", "ts_us", "revision", "crop", "vector", F.size("vector").alias("width"), F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.col("t.role").alias("role"))
 
-    def run(t: pa.Table) -> pa.Table:
-        names = t.column("key").to_numpy()
-        vectors = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
-        a, b, gap, distance, limit = tile_edges(names, t.column("ts_us").to_numpy(), t.column("role").to_numpy(), vectors, window_us, near)
-        library = t.column("library_id").take(pa.array(a, pa.int64()))
-        text = lambda x: pa.array(names[x], pa.string())
-        return pa.table({"library_id": library, "key_a": text(a), "key_b": text(b), "gap_us": pa.array(gap, pa.int64()), "distance": distance, "margin": (limit - distance) / limit})
-
     # Prints of another revision, crop or length aren't comparable.
-    groups = dealt.groupBy(*by, "b", "i", "j", "revision", "crop", "width")
-    return groups.applyInArrow(run, "library_id string, key_a string, key_b string, gap_us long, distance double, margin double")
+    block = [*by, "b", "i", "j", "revision", "crop", "width"]
+
+    def edges(t: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        """Edges of the blocks between neighbouring cuts."""
+        names, ts, roles = t.column("key").to_numpy(), t.column("ts_us").to_numpy(), t.column("role").to_numpy()
+        lists = t.column("vector").combine_chunks()
+        values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        found = []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if y - x > 1:
+                v = values[offsets[x] : offsets[y]].astype(np.float64).reshape(y - x, -1)
+                a, b, *rest = tile_edges(names[x:y], ts[x:y], roles[x:y], v, window_us, near)
+                if len(a):
+                    found.append((a + x, b + x, *rest))
+        a, b, gap, distance, limit = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
+        library = t.column("library_id").combine_chunks().take(pa.array(a.astype(np.int64)))
+        text = lambda x: pa.array(names[x.astype(np.int64)], pa.string())
+        numbers = pa.array(gap, pa.int64()), pa.array(distance, pa.float64()), pa.array((limit - distance) / limit, pa.float64())
+        return pa.RecordBatch.from_arrays([library, text(a), text(b), *numbers], names=["library_id", "key_a", "key_b", "gap_us", "distance", "margin"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # of the block that may go on in the next batch
+        for batch in batches:
+            t = pa.Table.from_batches([*held, batch]).combine_chunks()
+            n = t.num_rows
+            if n < 2:
+                held = t.to_batches()
+                continue
+            new = np.zeros(n - 1, bool)
+            for c in block:
+                new |= pc.fill_null(pc.not_equal(t.column(c).slice(1), t.column(c).slice(0, n - 1)), True).to_numpy()
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            held = t.slice(cuts[-1]).combine_chunks().to_batches()
+            if len(cuts) > 1:
+                yield edges(t.slice(0, cuts[-1]).combine_chunks(), cuts)
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield edges(t, [0, t.num_rows])
+
+    # The rows of a block follow each other; a partition holds many blocks and a worker one at a time.
+    lined = dealt.repartition(*block).sortWithinPartitions(*block)
+    return lined.mapInArrow(run, "library_id string, key_a string, key_b string, gap_us long, distance double, margin double")

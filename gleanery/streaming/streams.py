@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleanery.config import US, GroupConfig
+from gleanery.operators.live import LiveLibrary, newest
 from gleanery.sources.ledgers import FOLD_AFTER, Journal, Ledger
 
 
@@ -63,12 +64,16 @@ def debounce_changes(changes: DataFrame, quiet: str = "2 seconds", delay: str =
     return grouped.agg(F.count("*").alias("changes"), F.max("ts").alias("last_at")).drop("w")
 
 
-def incremental_analysis(changes: DataFrame, analyse: Callable[[DataFrame], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Analyse only new or edited assets of each micro-batch; ``apply`` merges the results and regroups touched libraries."""
+def incremental_analysis(changes: DataFrame, library: LiveLibrary, checkpoint: str, renditions: Callable[[], DataFrame] | None = None, deleted: str = "is_deleted") -> StreamingQuery:
+    """Keep ``library`` up to date with a stream of changed assets: each micro-batch is analysed, merged and regrouped.
+
+    A row whose ``deleted`` column is true takes its asset away. ``renditions`` gives what can be measured at the time.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy("key").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "key"]), "modification_date").alias("v")).select("key", "v.*")
-        apply(analyse(newest), number)
+        last = newest(batch)
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted in batch.columns else F.lit(False)
+        library.apply(last.filter(~gone).drop(deleted), last.filter(gone).select("key"), renditions() if renditions else None, number)
 
     return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
 

@@ -4,8 +4,11 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from gleanery.operators import components
 from gleanery.operators.cache import BucketCache
+from gleanery.operators.components import LiveComponents
 from gleanery.sources import ledgers
 from gleanery.sources.ledgers import Journal, Ledger, commit_deletions
 from gleanery.storage import Versions
@@ -184,3 +187,46 @@ def test_cache_equals_a_dictionary(spark, tmp_path):
             want = {k: v for k, v in want.items() if k < "k2"}
             c.prune(spark.createDataFrame([(k,) for k in want], "key string"))
         assert {x.key: (x.seq, x.value) for x in c.read().collect()} == want
+
+
+def union_find(edges):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("fold", [0.0, 0.5])
+def test_live_components_equal_union_find(spark, tmp_path, fold):
+    r, seen = random.Random(int(fold * 10)), []
+    live = LiveComponents(spark, f"{tmp_path}/c", "long", fold)
+    assert live.read().count() == 0
+    for batch in range(4):
+        edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(r.choice([0, 4, 12]))] + [(None, 3), (5, 5)]
+        edges += [(1000 - batch, 1001 - batch)]  # a chain that grows at its smaller end
+        seen += edges
+        df = spark.createDataFrame(edges, "a long, b long")
+        assert live.add(df, batch) and not live.add(df, batch)
+        assert {x.node: x.component for x in LiveComponents(spark, f"{tmp_path}/c", "long", fold).read().collect()} == union_find(seen)
+
+
+def test_hubs_are_joined_where_their_edges_are(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_EDGES", 50)
+    monkeypatch.setattr(components, "HUB_SHARE", 0.05)
+    r = random.Random(3)
+    edges = [(7, 1000 + i) for i in range(200)] + [(r.randint(0, 300), r.randint(0, 300)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {x.node: x.component for x in components.connected_components(df).collect()}
+    assert got == union_find(edges)
+    lows = df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    plan = components._with_lows(df, lows, len(edges))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
+    assert lows.filter("n > 50").count() == 1

@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from gleanery.operators import reports
 from gleanery.streaming import streams
 
@@ -77,16 +75,6 @@ def test_changes_are_debounced_and_versions_come_once(spark, tmp_path):
     assert spark.table("versions").count() == 2
 
 
-def test_only_the_newest_version_is_analysed(spark, tmp_path):
-    schema = "key string, modification_date timestamp, x int"
-    put(spark, f"{tmp_path}/in", [("a", T0, 1), ("a", T0 + dt.timedelta(days=1), 2), ("b", T0, 3)], schema, 0)
-    src = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/0")
-    seen = []
-    q = streams.incremental_analysis(src, lambda df: df.withColumn("y", F.col("x") * 10), lambda df, _: seen.extend((r.key, r.y) for r in df.collect()), f"{tmp_path}/check")
-    q.awaitTermination()
-    assert sorted(seen) == [("a", 20), ("b", 30)]
-
-
 def test_latest_decisions_stream(spark, tmp_path):
     schema = "seq long, key string, value string"
     put(spark, f"{tmp_path}/in", [(1, "a", "pick"), (2, "a", None), (3, "b", "reject")], schema, 0)
