@@ -264,12 +264,15 @@ def repeated_spans(docs: DataFrame, length: int, tables: Tables, whole: bool = F
     cand = tables.write(every.join(often, "h"))
     tables.drop(every)
     place = F.struct("kid", "doc_id", "a", "windows", "left", "right")
-    distinct = tables.write(cand.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(place).alias("p")).select("h", "c", "n", "p.*"))
+    # A side that a context doesn't hold is 0; names of sides are odd, so an even hash of the context stands for no other's.
+    alone = lambda x: F.when(F.col(f"p.{x}") == 0, F.xxhash64("c").bitwiseAND(F.lit(-2))).otherwise(F.col(f"p.{x}")).alias(x)
+    distinct = cand.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(place).alias("p"))
+    distinct = tables.write(distinct.select("h", "c", "n", *(f"p.{x}" for x in ("kid", "doc_id", "a", "windows")), alone("left"), alone("right")))
     # All windows of a context with several places are repeats.
     edges = distinct.filter("n > 1").select("h", "c", F.lit(0).cast("long").alias("s"), (F.col("windows") - 1).cast("long").alias("e"))
     made = []
     if not whole:
-        sides = [distinct.filter(F.col(x) != 0).groupBy(x).agg(F.sum("n").alias("k")).filter("k > 1").select(x, F.lit(True).alias(f"some_{x}")) for x in ("left", "right")]
+        sides = [distinct.filter(F.col(x).bitwiseAND(F.lit(1)) == 1).groupBy(x).agg(F.sum("n").alias("k")).filter("k > 1").select(x, F.lit(True).alias(f"some_{x}")) for x in ("left", "right")]
         kept = distinct.join(sides[0], "left", "left").join(sides[1], "right", "left").filter("some_left or some_right")
         single = kept.groupBy("h").agg(F.count("*").alias("k"), F.max("n").alias("m")).filter("k > 1").select("h", "k")
         kept = kept.join(single, "h").select("h", "c", "n", "doc_id", "kid", "a", "windows")
