@@ -12,7 +12,7 @@ weights:
 - weigh: the marks that are left are the clause's matches, each with the weight of its kind.
 
 A clause's score is the sum of its arcs' weights. A document's score is logistic in the score of its strongest clause and
-in how many clauses have a match, never in numbers of words. The insult lexicon (words and word beginnings of 3 to 6
+in how many clauses have a match, never in numbers of words. The insult lexicon (words and word beginnings of 6 to 8
 letters) and the weights are fitted to a bounded sample of labelled documents, at most ``max_rows`` by the hash of their
 id; of near copies in the sample the one with the least hash counts. The strongest clause of a document depends on the
 weights, so fit and choice take turns, ``TURNS`` times. Without usable labels the fixed seed words and prior weights stand.
@@ -50,7 +50,8 @@ KINDS = (INSULT, AIMED, AIMED_AFTER, AIMED_THREAT, THREAT, NEGATED, REPORTED)
 PRIOR = np.array([-3.0, 3.0, 4.0, 1.0, 4.0, 0.5, 0.5, 0.5, 0.5])
 CLAUSE_ENDS, QUOTES = ".!?;:\n", "\"“”„«»"
 TOKEN = re.compile(rf"[^\W\d_]+|[{CLAUSE_ENDS}{QUOTES}]")
-LENGTHS = range(3, 7)
+#: Letters of the word beginnings that the lexicon may hold; shorter ones begin too many ordinary words.
+LENGTHS = range(6, 9)
 #: Clauses after which an open quotation ends, and rounds of choosing clauses and fitting weights.
 QUOTED, TURNS = 4, 4
 

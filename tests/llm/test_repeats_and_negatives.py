@@ -1,4 +1,4 @@
-"""Substring dedup of words, hard negatives and periodic runs against brute force."""
+"""Substring dedup of words, hard negatives and periodic runs against brute force; ordinary sentences under the toxicity model."""
 
 import hashlib
 import random
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.llm import hard_negatives, periodic_runs, queries, recompression
+from gleanery.llm import hard_negatives, periodic_runs, queries, recompression, toxicity
 
 SF = "/root/testdata/sf0.001"
 #: Extra columns have names that the operators use inside.
@@ -282,3 +282,28 @@ def test_runs_of_odd_rows(spark):
     got = periodic_runs.summary(periodic_runs.find_runs(df)).select(_COLUMNS).collect()
     assert Counter(map(tuple, got)) == Counter(expected_digests(i, words_of(t)) for i, t in rows)
     assert periodic_runs.summary(periodic_runs.find_runs(df.filter("false"))).count() == 0
+
+
+# --- toxicity: ordinary sentences ---
+
+# Ordinary words, many with the first letters of an insult.
+ORDINARY = {
+    "We saw the {} again this week.": "train morning moment more distance district disk discussion path pathway patient closed close clock cloud clothes school scuba sculpture worth worker track trade tradition "
+    "tray transport traffic idea ideal identity loss lost student study stupendous dust dump clover climate image impact import island display dinner moral mortgage market garden window bridge teacher",
+    "Heute geht es um {} und den Garten.": "Morgen Distanz Diskussion Pfad Klasse Kloster Wort Worte Transport Tradition Traube Idee Ideal Verlust Student Stufe Staub Klima Bild Insel Moral Moos Markt Fenster Brücke Lehrer "
+    "Schule Schrank Scheibe Trasse Trommel Dichter Diesel Disziplin Klang Losung Lose Patent Pause Stuhl Sturm Imker Import Wurst Wolke Würde Müll Mord Disko Dosis",
+    "Nous avons parlé de {} hier soir.": "travail train trace tradition morceau morale distance discours dispute disque patience passage clocher clôture climat idée idéal identité perte étude stupeur image impact importance "
+    "île jardin fenêtre pont école écran scène science sculpture tracteur trafic transport monde montagne moment mortier losange loisir local poussière poudre wagon world dimension dîner",
+    "Ayer hablamos de {} con calma.": "trabajo tren trazo tradición mañana moral distancia discurso disputa disco paciencia pasaje clase claustro clima idea ideal identidad pérdida estudio estupor imagen impacto importe "
+    "isla jardín ventana puente escuela escudo escena ciencia escultura tractor tráfico transporte mundo montaña momento mortero losa local polvo vagón dimensión cena mercado maestro patio trama",
+}
+
+
+def test_ordinary_sentences_are_not_toxic(spark):
+    sf = "/root/testdata/sf0.1"
+    model = toxicity.fit(queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels"))
+    sentences = [s.format(w) for s, words in ORDINARY.items() for w in words.split()]
+    sentences += ["The train left in the morning.", "They walked more than a short distance on the path.", "A closed school."]
+    found = [(s, round(float(x), 2)) for s, x in zip(sentences, model.scores(sentences), strict=True) if x >= 0.3]
+    assert len(sentences) > 195 and not found
+    assert min(model.scores(["You are a stupid clown.", "He is an idiot."])) >= 0.7
