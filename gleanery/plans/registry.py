@@ -11,10 +11,13 @@ from gleanery.config import US
 from gleanery.functions import predicates as P
 from gleanery.functions import scalars as S
 from gleanery.operators import cache, decisions, groups, pairs, ranking, reports, sessions
+from gleanery.operators.components import LiveComponents
+from gleanery.operators.live import LiveLibrary
 from gleanery.plans import views
 from gleanery.plans.group_sql import STAGES, fnv
 from gleanery.plans.views import ENGINE, NOW_US, SQL, table
 from gleanery.sources import assets as sources
+from gleanery.sources.ledgers import Journal, Ledger
 from gleanery.storage import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -816,3 +819,64 @@ def review_videos(spark, d):
 @query("review_sets", f"{SQL}{STAGES} SELECT library_id, key FROM (SELECT library_id, unnest(ks) AS key FROM groups)")
 def review_sets(spark, d):
     return reports.review_filter(views.assets(spark, d, False), views.decisions(spark, d), "sets", all_groups(spark, d)).select("library_id", "key")
+
+
+# Stores that are kept between runs, fed batch by batch; each under a fresh path.
+def store_path(spark, name: str) -> str:
+    return Tables(spark, name).root
+
+
+@query("journal_snapshot", "SELECT key, value AS decision FROM (SELECT user_id::VARCHAR AS key, first(CASE event_type WHEN 'purchase' THEN 'pick' WHEN 'view' THEN 'maybe' WHEN 'click' THEN 'reject' WHEN 'signup' THEN 'unreviewed' END ORDER BY event_id DESC) AS value FROM events GROUP BY user_id) WHERE value IS NOT NULL")
+def journal_snapshot(spark, d):
+    """The journal in four batches by its sequence, the last one twice; errors remove. It folds on the way."""
+    entries = views.journal(spark, d).select(F.col("seq.event_id").cast("long").alias("seq"), "key", "value")
+    last = entries.agg(F.max("seq")).first()[0] or 0
+    kept, step = Journal(spark, store_path(spark, "journal"), fold_after=2000), last // 4 + 1
+    for k in (0, 1, 2, 3, 3):
+        kept.append(entries.filter(F.col("seq").between(k * step, (k + 1) * step - 1)), k)
+    return kept.read()
+
+
+@query("ledger_once", f"WITH b AS (SELECT o_orderkey, epoch_us(o_orderdate::TIMESTAMP) AS date_us, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT count(*) AS batches, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (date_us > {NOW_US} - 11 * 365 * 86400000000), 0)::BIGINT AS pending FROM b")
+def ledger_once(spark, d):
+    """Orders as deletions, a batch for each priority, every batch twice."""
+    rows = views.ledger(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    kept = Ledger(spark, store_path(spark, "ledger"))
+    for p in [r[0] for r in rows.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()] * 2:
+        kept.append(p, rows.filter(F.col("o_orderpriority") == p))
+    pending = kept.pending(NOW_US, 11 * 365).first().pending
+    return kept.read().agg(F.count("*").alias("batches"), F.sum(F.size("asset_keys")).alias("total")).withColumn("pending", F.lit(pending).cast("long"))
+
+
+@query("cache_in_buckets", "SELECT user_id::VARCHAR AS key, max_by(event_type, event_id) AS value, max(event_id) AS seq FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'purchase') > 0")
+def cache_in_buckets(spark, d):
+    """Last event of a user, from two batches; users without a purchase are pruned."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
+    kept = cache.BucketCache(spark, store_path(spark, "cache"), "key string, seq long, value string", buckets=16)
+    kept.upsert(e.filter("seq % 2 = 1"), 0)
+    kept.upsert(e.filter("seq % 2 = 0"), 1)
+    kept.prune(e.filter("value = 'purchase'").select("key").distinct())
+    return kept.read().select("key", "value", "seq")
+
+
+@query("live_components", f"{ORACLE['near_duplicate_edges'].rsplit(' SELECT ', 1)[0]}, ed AS (SELECT key_a AS a, key_b AS b FROM p WHERE dist <= lim), both_ AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach(x, y) AS (SELECT a, a FROM both_ UNION SELECT r.x, e.b FROM reach r JOIN both_ e ON e.a = r.y) SELECT x AS node, min(y) AS component FROM reach GROUP BY x")
+def live_components(spark, d):
+    """The near-duplicate edges in three batches."""
+    rows = sessions.sessionize(views.assets(spark, d))
+    edges = Tables(spark, "edges").write(pairs.edges_in_blocks(rows, ["library_id", "session_id"], int(ENGINE.group.pair_window * US), ENGINE.near).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+    kept = LiveComponents(spark, store_path(spark, "live"))
+    for k in range(3):
+        kept.add(edges.filter(F.pmod(F.xxhash64("a"), F.lit(3)) == k), k)
+    return kept.read()
+
+
+@query("live_groups", f"{SQL}{STAGES} SELECT {', '.join(_OUT)} FROM groups")
+def live_groups(spark, d):
+    """The library in two batches of assets by time of event: the groups of a run over all."""
+    a = Tables(spark, "assets").write(views.as_assets(views.assets(spark, d), sources.asset_schema()))
+    kept = LiveLibrary(spark, store_path(spark, "library"), NOW_US, ENGINE, buckets=16)
+    half = a.agg(F.percentile_approx(F.unix_micros("modification_date"), 0.9)).first()[0] or 0
+    late = F.unix_micros("modification_date") > half
+    kept.apply(a.filter(~late), batch=0)
+    kept.apply(a.filter(late), batch=1)
+    return shown(kept.groups())
