@@ -30,7 +30,7 @@ BLOCKS = "bucket int, block int, bits int, n_ids long, doc_ids array<long>, ends
 DOCS = "bucket int, block int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
 #: Bytes of texts encoded at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 # Marks that often follow a word, and capitals whose lower case depends on what follows or is two letters.
 MARKS, ODD_CASE = frozenset(",.;:!?"), frozenset("Σİ")
 
@@ -63,7 +63,7 @@ class WordEncoder:
     bounded: once it holds ``most`` of them a new one begins, and the old one serves until the next change.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
