@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.columns import arrow_filter
+
 GRAM = 8
 SPACE = re.compile(r"\s+")
 #: Steps x walks x windows that are embedded at once.
@@ -279,12 +281,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, reca
     """``docs`` without the rows that hold an item."""
     for index in _blocks(benchmark, block_chars, (rate, recall, hamming, bits)):
 
-        def run(batches, index=index):
+        def clean(index=index):
             ix = index()
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in ix.search([normal(t) for t in batch.column("text").to_pylist()])]] = False
-                yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+            def keep(texts):
+                held = {f[0] for f in ix.search([normal(t) for t in texts])}
+                return [k not in held for k in range(len(texts))]
+
+            return keep
+
+        docs = arrow_filter(docs, clean)
     return docs

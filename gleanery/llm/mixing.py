@@ -28,6 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.llm.columns import packed, quoted, unpacked
 from gleanery.storage import Tables
 
 #: A word: what stands between ASCII white space.
@@ -107,10 +108,13 @@ def _taken(rounds: Column, order: Column, size: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, weight_col: str | None = None, size_power: float = 0.0) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target, mix_copies and mix_taken."""
+    """``docs`` with mix_size, mix_source_size, mix_target, mix_copies and mix_taken, which replace columns of these names."""
     tables = Tables(docs.sparkSession, "mix")
+    columns = [c for c in docs.columns if c.lower() not in OUT]
+    chance = quoted(weight_col).cast("double") if weight_col else F.lit(1.0)
+    docs = docs.select(packed(docs), "doc_id", "text", "source", chance.alias("chance"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).cast("double") + 0.5) / float(2**53)
-    wish = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
+    wish = F.greatest(F.coalesce("chance", F.lit(0.0)), F.lit(0.0))
     size = F.col("__size")
     marked = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__u", u).withColumn("__wish", wish * (F.pow(size.cast("double"), F.lit(size_power)) if size_power else F.lit(1.0)))
     sizes = tables.write(marked.select("doc_id", "source", F.col("__size").alias("size"), F.col("__u").alias("u"), F.col("__wish").alias("wish")))
@@ -157,10 +161,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     every = every.join(closing, same, "left").select("s", "rounds", F.col("last.order").alias("closing"))
     plan = tables.write(per.join(every, same, "left").select("src", "source_size", "target", "whole", "part", "some", "rate", "rounds", "closing"))
     tables.drop_but(plan)
-    return _apply(marked, plan, [c for c in docs.columns if c not in OUT])
+    return _apply(marked, plan, unpacked(columns))
 
 
-def _apply(marked: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
+def _apply(marked: DataFrame, plan: DataFrame, columns: list[Column]) -> DataFrame:
     c = lambda name: F.col("__plan_" + name)
     plan = plan.select([F.col(x).alias(f"__plan_{x}") for x in plan.columns])
     out = marked.join(plan, c("src").eqNullSafe(F.col("source")))
@@ -169,9 +173,12 @@ def _apply(marked: DataFrame, plan: DataFrame, columns: list[str]) -> DataFrame:
     extra = (c("part") > 0) & (F.col("__size") > 0) & (_taken(c("rounds"), order, F.col("__size")) | F.coalesce(order == c("closing"), F.lit(False)))
     copies = F.when(F.col("__size") > 0, c("whole") + F.when(extra, 1).otherwise(0)).otherwise(F.lit(0))
     made = (F.col("__size"), c("source_size"), c("target"), copies.cast("long"), (copies * F.col("__size")).cast("long"))
-    return out.select(*columns, *[x.alias(n) for x, n in zip(made, OUT, strict=True)])
+    return out.select("row", *[x.alias(n) for x, n in zip(made, OUT, strict=True)]).select(*columns, *OUT)
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as many times as it has copies."""
-    return mixed.filter("mix_copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(columns)
+def mixture(docs: DataFrame, weight_col: str | None = None, **how) -> DataFrame:
+    """The mix itself: each row as many times as ``mix`` takes it, with the columns of ``docs``, whatever their names."""
+    chance = quoted(weight_col) if weight_col else F.lit(None)
+    mixed = mix(docs.select("doc_id", "text", "source", chance.alias("chance"), packed(docs, "whole_row")), weight_col="chance" if weight_col else None, **how)
+    copies = mixed.filter("mix_copies > 0").select("whole_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    return copies.select(unpacked(docs.columns, "whole_row"))

@@ -20,7 +20,7 @@ Equal tables give equal models, however their rows are dealt.
 
 Edge cases: null and empty texts have no matches and get the score of such texts; labels that are null or name no
 document are ignored, repeated ones count once; repeated rows get equal scores; an empty table gives an empty result;
-other columns pass through, but for score and predicted, which are replaced.
+other columns pass through; ``score`` replaces score and predicted, ``reject`` adds and replaces nothing.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+from gleanery.llm.columns import arrow_filter, quoted
 
 # Seed words of the classes.
 INSULTS = "idiot moron stupid scum trash loser pathetic worthless disgusting clown imbecile dumb"
@@ -277,15 +280,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
 
 
 def score(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
-    """``docs`` with score and predicted."""
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema), "score double, predicted int"])
+    """``docs`` with score and predicted, which replace columns of these names."""
+    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    names, at = [f"c{i}" for i in range(len(keep))], keep.index("text")
+    docs = docs.select(*map(quoted, keep)).toDF(*names)
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                s = model.scores(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= limit).astype(np.int32))], names=[*keep, "score", "predicted"])
+                s = model.scores(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= limit).astype(np.int32))], names=[*names, "score", "predicted"])
+
+    return docs.mapInArrow(run, schema).toDF(*keep, "score", "predicted")
+
 
-    return docs.select(keep).mapInArrow(run, schema)
+def reject(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with their columns, whatever the names."""
+    return arrow_filter(docs, lambda: lambda texts: model.scores(texts) < limit)

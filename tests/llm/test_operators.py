@@ -72,7 +72,7 @@ def test_mixing_targets_and_limits(spark, docs):
         assert abs(sum(r.mix_taken for r in per[s]) - target[s]) <= max(r.mix_size for r in per[s]) / 2 + 1
     assert sorted((r.doc_id, r.mix_taken) for r in got) == sorted((r.doc_id, r.mix_taken) for r in mixing.mix(docs.repartition(3)).collect())
     assert mixing.mix(empty(docs)).count() == 0
-    assert mixing.repeated(mixing.mix(docs), docs.columns).count() == sum(r.mix_copies for r in got)
+    assert mixing.mixture(docs).count() == sum(r.mix_copies for r in got)
 
 
 def test_mixing_reaches_a_skewed_target(spark):
