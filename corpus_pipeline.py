@@ -17,22 +17,22 @@ from gleanery.storage import Tables
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject; the model is fitted to the labelled ones."""
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+    return toxicity.reject(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, the one with the smallest doc_id."""
-    return hyperminhash.keep_one(docs).select(docs.columns)
+    return hyperminhash.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix at target weights: a document stands as many times as the mix takes it."""
-    return mixing.repeated(mixing.mix(docs, size_power=queries.SIZE_POWER), docs.columns)
+    return mixing.mixture(docs, size_power=queries.SIZE_POWER)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
