@@ -8,6 +8,9 @@ picks a page's labels. Labelled pages are made by ``labelled_pages`` from page l
 Never text: scripts, styles, comments, form controls, options, templates, the head. Character references are decoded, white space in
 a block becomes one space, a ``br`` is white space, blocks are joined in page order by one newline.
 
+A page that would have no text, though blocks stand outside menus, headers, footers, asides, forms, hidden and otherwise
+named parts, gets the best labels of those that make such a block article.
+
 Edge cases: null and empty html give an empty text; unclosed and stray tags are closed or skipped as browsers do; a page cut
 off in a tag ends there; blocks without text don't count; repeated rows are each extracted; an empty table gives an empty
 result; other columns are not read. A page is one row of one task, whatever its size; nothing is cut off.
@@ -51,6 +54,9 @@ CUES = (
     "posted by", "wrote:", "promoted", "buy now", "search",
 )
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+>|[^>]*(?:>|\Z))", re.S)
+#: Elements and names that hold an article, and those under which a block is no part of one when a page must have a text.
+HOLDS_TEXT = frozenset("in:article in:main named:content named:article named:post named:entry named:story named:body".split())
+NO_TEXT = frozenset("in:nav in:footer in:header in:aside in:form in:dialog in:menu in:button in:label named:hidden named:comment".split())
 ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -159,10 +165,20 @@ def text_features(text: str, linked: int, parent: str) -> list[str]:
     ]
 
 
+def _may_be_text(context: frozenset) -> bool:
+    """Whether a block stands under no menu, form, header, footer or named part that isn't an article's."""
+    return NO_TEXT.isdisjoint(context) and all(f in HOLDS_TEXT or not f.startswith("named:") or f in ("named:page", "named:text") for f in context)
+
+
+def place_features(parent: str, context: frozenset) -> list[str]:
+    """Of a block's place: a heading where articles are held; outside of menus, forms and named parts."""
+    heading = parent[:1] == "h" and parent[1:].isdigit() and not HOLDS_TEXT.isdisjoint(context)
+    return ["heading in article"] * heading + ["outside named parts"] * _may_be_text(context)
+
+
 def block_features(block: tuple[str, int, str, frozenset]) -> list[str]:
     text, linked, parent, context = block
-    heading = ["heading in article"] if parent in ("h1", "h2", "h3", "h4", "h5", "h6") and "in:article" in context else []
-    return [*text_features(text, linked, parent), *sorted(context), *heading]
+    return [*text_features(text, linked, parent), *sorted(context), *place_features(parent, context)]
 
 
 class Crf:
@@ -179,17 +195,39 @@ class Crf:
         for text, linked, parent, context in blocks:
             above = (context, parent)
             if above not in seen:
-                heading = get("heading in article", 0.0) if parent[:1] == "h" and parent[1:].isdigit() and "in:article" in context else 0.0
-                seen[above] = sum(get(f, 0.0) for f in context) + heading
+                seen[above] = sum(get(f, 0.0) for f in (*context, *place_features(parent, context)))
             out.append(seen[above] + sum(get(f, 0.0) for f in text_features(text, linked, parent)))
         return out
 
     def decode(self, blocks: list) -> list[int]:
-        """Viterbi."""
+        """Viterbi. A page that would have no text, though blocks stand outside menus, forms and named parts, gets the
+        best labels among those that make one of these blocks article."""
         if not blocks:
             return []
-        (t00, t01), (t10, t11) = self.trans.tolist()
         scores = self.emissions(blocks)
+        y = self._best(scores)
+        if not any(y):
+            free = [k for k, (_, _, _, context) in enumerate(blocks) if _may_be_text(context)]
+            if free:
+                return self._best_with(scores, free)
+        return y
+
+    def _best_with(self, scores: list[float], free: list[int]) -> list[int]:
+        """The best labels with some block of ``free`` as article: the best paths up to and from each, joined there."""
+        e, n = np.array(scores), len(scores)
+        ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
+        ahead[0] = self.start + (0, e[0])
+        for k in range(1, n):
+            ahead[k] = (ahead[k - 1][:, None] + self.trans).max(0) + (0, e[k])
+        for k in range(n - 2, -1, -1):
+            behind[k] = (self.trans + behind[k + 1] + (0, e[k + 1])).max(1)
+        chosen = max(free, key=lambda k: (ahead[k, 1] + behind[k, 1], -k))
+        forced = list(scores)
+        forced[chosen] += 1e9
+        return self._best(forced)
+
+    def _best(self, scores: list[float]) -> list[int]:
+        (t00, t01), (t10, t11) = self.trans.tolist()
         a, b, back = float(self.start[0]), float(self.start[1]) + scores[0], []
         for e in scores[1:]:
             p0, p1 = a + t00 < b + t10, a + t01 < b + t11
@@ -235,8 +273,13 @@ class Crf:
                 self.start += rate * g / np.sqrt(past_start)
 
 
-def labelled_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int]]]:
-    """Pages of varied layouts, and the label of each leaf block."""
+#: What holds the article of a training page: an article or main element, a div with a telling name, one without, or the body.
+FAMILY_WEIGHTS = {"article": 50, "main": 13, "named": 22, "plain": 10, "body": 5}
+FAMILIES = tuple(FAMILY_WEIGHTS)
+
+
+def labelled_pages(count: int = 600, seed: int = 11, families: tuple[str, ...] = FAMILIES) -> list[tuple[str, list[int]]]:
+    """Pages of varied layouts, and the label of each leaf block. A sixth of them hold an article and nothing else."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["ta", "re", "mo", "li", "sen", "kor", "eau", "ung", "ción", "the", "an"]) for _ in range(r.randint(1, 3)))
     phrase = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
@@ -272,12 +315,22 @@ def labelled_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int
     share = lambda: f"<div{named('share', 'social', 'tags', 'meta', 'byline')}>{put('p', r.choice(['Share this', phrase(1, 5)]), 0)}</div>"
     junk = [advert, bare, notice, form, share, side]
 
-    def part(heading: bool) -> str:
+    def part(heading: bool, divs: bool) -> str:
         if heading:
             return put(r.choice(["h2", "h3"]), phrase(1, 8), 1)
-        kind = r.random()
+        kind = 0.14 if divs else r.random()
         if kind < 0.07:
             return put("p", r.choice(["All rights reserved.", "Read more about cookies and privacy in this article.", f"Copyright {sentence()}", f"Subscribe to {sentence()}", f"She wrote: {sentence()}"]), 1)
+        if kind < 0.1:
+            return put("p", f'<a href="/{word()}">{sentence()}</a>', 1)
+        if kind < 0.12:
+            return put("p", r.choice(["&lt;&amp;&eacute;", "&hellip;", "*", "&mdash; &mdash;", phrase(1, 2)]), 1)
+        if kind < 0.14:
+            return put("p", sentence(), 0, r.choice([' style="display:none"', " hidden", ' style="display: none;"', ' aria-hidden="true"']))
+        if kind < 0.2:
+            lead = r.choice(["", f"<span>{phrase(1, 12)}</span>", sentence()])
+            label.extend([1] * bool(lead))
+            return f"<div>{lead}{put('div', f'{sentence()}<br><br>{sentence()}', 1)}</div>"
         if kind < 0.75:
             return put("p", " ".join(sentence() for _ in range(r.choice([1, 1, 2, 4, 8]))) + (f' <a href="/x">{phrase(1, 4)}</a> {sentence()}' if r.random() < 0.2 else ""), 1)
         if kind < 0.83:
@@ -287,35 +340,38 @@ def labelled_pages(count: int = 500, seed: int = 11) -> list[tuple[str, list[int
         return f"<blockquote>{put('p', sentence(), 1)}</blockquote>" if kind < 0.95 else put("pre", sentence(), 1)
 
     def article() -> str:
-        title = put("h1", phrase(1, 12), 1) if r.random() < 0.85 else ""
+        family = r.choices(families, [FAMILY_WEIGHTS[f] for f in families])[0]
+        divs = family in ("plain", "body") and r.random() < 0.4
+        title = put("h1", phrase(1, 12), 1) if r.random() < (0.2 if divs else 0.85) else ""
         title = f"<header>{title}</header>" if title and r.random() < 0.15 else title
         body = [title]
         for k in range(r.choice([1, 2, 5, 9, 14])):
-            body.append(part(k > 0 and r.random() < 0.15))
+            body.append(part(k > 0 and r.random() < 0.15, divs and r.random() < 0.6))
             if r.random() < 0.06:
                 body.append(r.choice(junk)())
         if r.random() < 0.15:
             body.append(comments())
-        kind = r.random()
-        if kind < 0.55:
+        if family == "article":
             open_, close_ = f"<article{named('post', 'story', 'entry') if r.random() < 0.3 else ''}>", "</article>"
-        elif kind < 0.7:
+        elif family == "main":
             open_, close_ = "<main>", "</main>"
-        elif kind < 0.95:
+        elif family == "named":
             open_, close_ = f"<div{named('content', 'article', 'post', 'entry-content', 'main', 'article-body', 'story', 'page-content')}>", "</div>"
+        elif family == "plain":
+            open_, close_ = f"<div{r.choice(['', ' id=wrap', ' class=x1', ' id=container'])}>", "</div>"
         else:
-            open_, close_ = "<div>", "</div>"
+            open_, close_ = "", ""
         return open_ + "".join(body) + close_
 
     out = []
     for _ in range(count):
         label.clear()
-        made = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body>"
+        made, alone = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body>", r.random() < 1 / 6
         for f, chance in ((notice, 0.2), (header, 0.4), (nav, 0.8), (advert, 0.3), (bare, 0.2), (side, 0.2), (form, 0.15)):
-            made += f() if r.random() < chance else ""
+            made += f() if r.random() < chance and not alone else ""
         made += article()
         for f, chance in ((comments, 0.3), (share, 0.15), (side, 0.3), (form, 0.15), (advert, 0.2), (notice, 0.1), (footer, 0.85)):
-            made += f() if r.random() < chance else ""
+            made += f() if r.random() < chance and not alone else ""
         out.append((made + "</body></html>" * r.randint(0, 1), list(label)))
     return out
 

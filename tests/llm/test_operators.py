@@ -153,6 +153,58 @@ def test_crf_on_held_out_layouts():
     assert good / n > 0.97
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>Rain fell on the hills.</p></article>", "Rain fell on the hills."),
+        (f"<article><p>{'Rain fell on the hills. ' * 9}</p><p>See <a href=/x>the other report on this</a></p></article>", ("Rain fell on the hills. " * 9).strip() + "\nSee the other report on this"),
+        ("<div id=wrap><span>First line</span><div>text one<br><br>text two</div></div>", "First line\ntext one text two"),
+        ("<article><p>&lt;&amp;&eacute;</p></article>", "<&é"),
+        ("<div id=content><h2>News</h2><p>Rain fell on the hills.</p></div>", "News\nRain fell on the hills."),
+        ("<article><p>Rain fell on the hills today.</p><p style='display:none'>Hidden words here.</p></article>", "Rain fell on the hills today."),
+        ("<p>Rain fell.</p>", "Rain fell."),
+        ("<nav><ul><li><a href=/>Home</a></ul></nav><footer>&copy; 2020</footer>", ""),
+        ("<div class=cookie><p>We use cookies.</p></div>", ""),
+        ("<form><label>Name</label><p>Fill it in.</p></form>", ""),
+    ],
+)
+def test_plain_pages_have_a_text(page, want):
+    assert html_crf.main_text(page, html_crf.trained()) == want
+
+
+@pytest.mark.parametrize("family", html_crf.FAMILIES)
+def test_crf_on_held_out_families(family):
+    """Fitted without one kind of page, it labels most blocks of that kind."""
+    rows = []
+    for page, labels in html_crf.labelled_pages(300, seed=5, families=tuple(f for f in html_crf.FAMILIES if f != family)):
+        rows.append(([html_crf.block_features(b) for b in html_crf.leaf_blocks(page)], labels))
+        assert len(rows[-1][0]) == len(labels)
+    crf, good, n = html_crf.Crf(), 0, 0
+    crf.train(rows)
+    for page, labels in html_crf.labelled_pages(100, seed=78, families=(family,)):
+        y = crf.decode(html_crf.leaf_blocks(page))
+        good += sum(a == b for a, b in zip(y, labels, strict=True))
+        n += len(y)
+    assert good / n > 0.94
+
+
+def test_forced_labels_equal_brute_force():
+    """A page without text gets the best of all label rows that have a free block as article."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(1, 7))
+        crf = html_crf.Crf()
+        crf.trans, crf.start = rng.normal(size=(2, 2)), rng.normal(size=2)
+        scores = rng.normal(-3, 1, n).tolist()
+        free = sorted(rng.choice(n, int(rng.integers(1, n + 1)), replace=False).tolist())
+        value = lambda y: crf.start[y[0]] + sum(s for s, k in zip(scores, y, strict=True) if k) + sum(crf.trans[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, B905, E731
+        best = max((y for y in product((0, 1), repeat=n) if any(y[k] for k in free)), key=value)
+        assert crf._best_with(scores, free) == list(best)
+        assert crf._best(scores) == list(max(product((0, 1), repeat=n), key=value))
+
+
 def test_toxicity_learns_words_and_reads_clauses(spark):
     r = random.Random(2)
     words = ["".join(r.choices("laeiomkturns", k=r.randint(2, 8))) for _ in range(2000)]
