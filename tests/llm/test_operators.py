@@ -463,7 +463,7 @@ def test_decontamination_recall_at_the_edit_limit(size):
     r = random.Random(size)
     part = lambda n: " ".join("".join(r.choices(["ta", "re", "mo", "li", "sen", "kor", "ung", "an", "the"], k=r.randint(1, 4))) for _ in range(n))[:n].strip()
     items = [(i, decontaminate.normal(part(size))) for i in range(12)]
-    ix = decontaminate.Index(items, 0.1, 0.99, 0.78, 2)
+    ix = decontaminate.Index(items, 0.1, 0.99, 3.0, 3)
     docs = []
     for _ in range(5):
         for kind in "sidm":
@@ -480,6 +480,26 @@ def test_decontamination_recall_at_the_edit_limit(size):
     assert all(decontaminate.edit_distance_inside(dict(items)[i], docs[k], 99)[0] <= 0.1 * size for k, i in got)
 
 
+@pytest.mark.parametrize(("size", "many"), [(53, 300), (125, 300), (236, 300), (757, 60)])
+def test_walks_alone_turn_unrelated_windows_away(size, many):
+    """Without the pieces: few windows of other texts agree with an item, nearly all windows at the edit limit do."""
+    r = random.Random(size)
+    words = ["".join(r.choices("eeeeeennnniiirrrssstttaaadddhhuullccggmmoobwfkzvpj", k=r.randint(2, 9))) for _ in range(3000)]
+    cut = lambda: " ".join(r.choices(words, k=size))[:size]
+    items = [(i, cut()) for i in range(20)]
+    ix = decontaminate.Index(items, 0.1, 0.99, 3.0, 3)
+    other = [(p, cut(), p % 20) for p in range(many)]
+    assert len(ix.near(other)) <= 0.01 * many
+    edited = []
+    for p in range(60):
+        t, kind = list(items[p % 20][1]), "sidm"[p // 20]
+        for _ in range(decontaminate.allowed_edits(size, 0.1)):
+            k, at = (kind if kind != "m" else r.choice("sid")), r.randrange(len(t))
+            t[at : at + (k != "i")] = "" if k == "d" else r.choice("xyzqwabe")
+        edited.append((p, f"{''.join(t)} {cut()}"[:size], p % 20))
+    assert len(ix.near(edited)) >= 57
+
+
 def test_decontamination_of_odd_rows(spark):
     item = "an item of the benchmark that is long enough to be found, with some words"
     docs = spark.createDataFrame([(None, f"x {item} y", "a"), (None, "clean text", "b"), (1, "clean text", "c"), (1, item.upper(), "d"), (2, None, "e"), (3, " ", "f"), (4, "say tiny now", "g"), (5, f"{'word ' * 200_000}{item}", "h"), (5, "clean text", "c")], "doc_id long, text string, distance string")
