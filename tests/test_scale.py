@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from gleanery.config import US, NearConfig
 from gleanery.functions.scalars import euclidean
-from gleanery.operators import groups, pairs, reports, sessions
+from gleanery.operators import decisions, groups, pairs, reports, sessions
 from gleanery.ordering import Ranges, has_neighbour
+from gleanery.storage import Tables
 
 
 @pytest.fixture
@@ -110,6 +112,19 @@ def test_blocks_give_the_edges_of_all_pairs(spark, monkeypatch, tile):
     assert rows(got) == rows(want) and got.count() > 50
 
 
+def test_blocks_take_another_distance(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "_AT_ONCE", 50)
+    df = spark.createDataFrame(prints(4), PRINTS)
+    near, window, keys = NearConfig(steps=((3, 1.0), (3600, 0.6))), 3600 * US, ["library_id", "session_id"]
+    column = lambda x, y: F.when(F.size(x) > 0, F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v))
+    want = pairs.near_duplicate_edges(pairs.pairs_in_window(df, window, keys), df, near, column)
+    got = pairs.edges_in_blocks(df, keys, window, near, lambda x, y: abs(x - y).cumsum(axis=1)[:, -1])
+    rows = lambda e: Counter((r.library_id, r.key_a, r.key_b, r.gap_us, r.distance, r.margin) for r in e.collect())
+    assert rows(got) == rows(want) and got.count() > 50
+    plan = entry.queries()["edges_with_metric"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan  # no join of pairs with their vectors
+
+
 def test_a_limit_is_met_exactly(spark):
     near = NearConfig(steps=((3, 0.5),))
     rows = [("l", 0, "a", 0, (2, "c", [0.0, 0.0])), ("l", 0, "b", 0, (2, "c", [0.3, 0.4])), ("l", 0, "c", 1, (2, "c", [0.0, 0.5])), ("l", 0, "d", 3 * US, (2, "c", [0.0, 0.0]))]
