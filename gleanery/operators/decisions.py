@@ -28,8 +28,10 @@ def restore(decisions: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def long_form(groups: DataFrame, assets: DataFrame, decisions: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     """One row per group and member: pos, flagged, decision, is_settled, deletable, proposable."""
-    rows = groups.select("library_id", "group_id", "kind", "keeper", F.size("member_keys").alias("n"), "flagged", F.posexplode("member_keys").alias("pos", "key"))
-    rows = rows.withColumn("is_flagged", F.array_contains("flagged", F.col("key"))).drop("flagged")
+    rows = groups.select("library_id", "group_id", "kind", "keeper", F.size("member_keys").alias("n"), F.posexplode("member_keys").alias("pos", "key"))
+    # By a join: to search a group's flagged keys for each member is the square of its size.
+    flagged = groups.select("group_id", F.explode("flagged").alias("key")).distinct().withColumn("is_flagged", F.lit(True))
+    rows = rows.join(flagged, ["group_id", "key"], "left").withColumn("is_flagged", F.coalesce("is_flagged", F.lit(False)))
     info = assets.select("library_id", "key", (F.col("source_type") == "userLibrary").alias("deletable"), is_proposable().alias("proposable"))
     rows = rows.join(info, ["library_id", "key"], "left").join(decisions.select("key", "decision"), "key", "left")
     rows = rows.withColumn("decision", F.coalesce("decision", F.lit("unreviewed")))

@@ -125,6 +125,15 @@ def test_blocks_take_another_distance(spark, monkeypatch):
     assert "MapInArrow" in plan  # no join of pairs with their vectors
 
 
+def test_flags_of_a_large_group_are_joined(spark):
+    keys = [f"k{i}" for i in range(50)]
+    g = spark.createDataFrame([("l", "g", "expiredUtility", None, keys, keys[::3]), ("l", "h", "burst", "m", ["m"], [])], "library_id string, group_id string, kind string, keeper string, member_keys array<string>, flagged array<string>")
+    a = spark.createDataFrame([("l", k, "userLibrary", False, "image", False) for k in [*keys, "m"]], "library_id string, key string, source_type string, is_favorite boolean, media_type string, is_screen_recording boolean")
+    rows = decisions.long_form(g, a, spark.createDataFrame([], "key string, decision string"))
+    assert {(r.group_id, r.key, r.pos) for r in rows.collect() if r.is_flagged} == {("g", k, 3 * i) for i, k in enumerate(keys[::3])}
+    assert rows.count() == 51 and "array_contains" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_limit_is_met_exactly(spark):
     near = NearConfig(steps=((3, 0.5),))
     rows = [("l", 0, "a", 0, (2, "c", [0.0, 0.0])), ("l", 0, "b", 0, (2, "c", [0.3, 0.4])), ("l", 0, "c", 1, (2, "c", [0.0, 0.5])), ("l", 0, "d", 3 * US, (2, "c", [0.0, 0.0]))]
