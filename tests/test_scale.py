@@ -134,6 +134,15 @@ def test_flags_of_a_large_group_are_joined(spark):
     assert rows.count() == 51 and "array_contains" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_next_undecided_has_the_place_in_the_whole_deck(spark):
+    got = entry.queries()["next_undecided"](spark, "/root/testdata/sf0.001")
+    places = {(r.library_id, r.group_id): r.position for r in entry.queries()["make_groups"](spark, "/root/testdata/sf0.001").collect()}
+    rows = got.collect()
+    assert got.columns == ["library_id", "group_id", "position"] and rows
+    assert all(places[r.library_id, r.group_id] == r.position for r in rows)
+    assert any(r.position > 5 for r in rows)  # decided groups have places too
+
+
 def test_a_limit_is_met_exactly(spark):
     near = NearConfig(steps=((3, 0.5),))
     rows = [("l", 0, "a", 0, (2, "c", [0.0, 0.0])), ("l", 0, "b", 0, (2, "c", [0.3, 0.4])), ("l", 0, "c", 1, (2, "c", [0.0, 0.5])), ("l", 0, "d", 3 * US, (2, "c", [0.0, 0.0]))]
