@@ -143,6 +143,45 @@ def test_next_undecided_has_the_place_in_the_whole_deck(spark):
     assert any(r.position > 5 for r in rows)  # decided groups have places too
 
 
+@pytest.mark.parametrize("tile", [2048, 20])
+def test_links_join_what_edges_join(spark, monkeypatch, tile):
+    monkeypatch.setattr(pairs, "TILE", tile)
+    rows = [(lib, s, f"{k}.{c}", at, f) for lib, s, k, at, f in prints(6, 200) for c in range(6)] + [("lib", None, f"n{i}", 5, (2, "c", [1.0])) for i in range(2)]
+    rows += [("lib", 9, f"x{i}", 5, (2, "c", [float("nan") if i < 3 else float("inf")])) for i in range(6)]
+    df = spark.createDataFrame(rows, PRINTS)
+    keys = ["library_id", "session_id"]
+
+    def joined(e):
+        """Members and greatest margin of each component."""
+        edges = [(r.library_id, r.key_a, r.key_b, r.margin) for r in e.collect()]
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for lib, a, b, _ in edges:
+            root[find((lib, a))] = find((lib, b))
+        out = {}
+        for lib, a, b, m in edges:
+            members, top = out.get(find((lib, a)), (set(), 0.0))
+            out[find((lib, a))] = (members | {a, b}, max(top, m))
+        return sorted((sorted(members), top) for members, top in out.values()), len(edges)
+
+    want, pairs_ = joined(pairs.edges_in_blocks(df, keys, 3600 * US))
+    got, links = joined(pairs.links_in_blocks(df, keys, 3600 * US, NearConfig(), Tables(spark, "links")))
+    assert got == want and len(got) > 20
+    assert 2 * links < pairs_
+
+
+def test_links_of_one_time_and_print(spark):
+    """300 copies are 44,850 edges, and 299 links."""
+    df = spark.createDataFrame([("l", 0, f"k{i:03d}", 7, (2, "c", [1.0, 2.0])) for i in range(300)], PRINTS)
+    got = pairs.links_in_blocks(df, ["library_id", "session_id"], 3600 * US, NearConfig(), Tables(spark, "links")).collect()
+    assert {(r.key_a, r.margin) for r in got} == {("k000", 1.0)} and len({r.key_b for r in got}) == len(got) == 299
+
+
 def test_a_limit_is_met_exactly(spark):
     near = NearConfig(steps=((3, 0.5),))
     rows = [("l", 0, "a", 0, (2, "c", [0.0, 0.0])), ("l", 0, "b", 0, (2, "c", [0.3, 0.4])), ("l", 0, "c", 1, (2, "c", [0.0, 0.5])), ("l", 0, "d", 3 * US, (2, "c", [0.0, 0.0]))]
