@@ -7,9 +7,8 @@ ones; the full sets confirm the rest. A pair at the limit of 0.75 shares a band
 
 Work is on classes of equal word sequences, so copies cost one row. Inside a bucket no pairs are listed: every member is
 held against the bucket's pivot, a random member that differs from band to band. Classes that related pivots connect make
-a family. Buckets that still hold several families are compared sketch against sketch between the families, and hopeful
-pairs join theirs; a bucket with too many such pairs is first cut by a second band of the same documents, which a pair at
-the limit shares with probability 0.9999. A family is compared in a block of bounded size, or in a grid of
+a family. Buckets that still hold several families are compared sketch against sketch between the families, in a grid of
+blocks if they are large, and hopeful pairs join theirs. A family is compared in a block of bounded size, or in a grid of
 blocks, sketch against sketch; hopeful pairs are confirmed on the spot unless they are in one component already. So every
 banded pair ends in one component or has been given up by its sizes, its estimate or its full sets, and what leaves a block
 is at most one link per class.
@@ -42,8 +41,6 @@ SLACK = 3.5
 #: Least estimate for a bucket's pivot to tie a member to its family. A pivot under this has only a common line or passage
 #: with the member, which is then compared with the other families of the bucket.
 KIN = 0.3
-#: Sketch pairs of different families that a bucket may have before it is cut by a second band.
-BUCKET_PAIRS = 1_000_000
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +162,10 @@ def similar(x: bytes, y: bytes, percent: int) -> bool:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """``rows(key, nk, family)`` of the keys with several families, with main (the largest one), members and others."""
+    """``rows(key, nk, family)`` of the keys with several families, with main (the largest one) and members."""
     per = rows.groupBy("key", "family").agg(F.count("*").alias("n"))
     keys = per.groupBy("key").agg(F.max(F.struct("n", "family")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("families")).filter("families > 1")
-    return rows.join(keys.select("key", F.col("top.family").alias("main"), "members", (F.col("members") - F.col("top.n")).alias("others")), "key")
+    return rows.join(keys.select("key", F.col("top.family").alias("main"), "members"), "key")
 
 
 def kin_inside(rows: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
@@ -226,10 +223,7 @@ def _between(hits: DataFrame, family: DataFrame, nodes: DataFrame, tables: Table
     """kin_inside of every bucket that holds several families."""
     named = hits.join(family, "nk", "left").select("key", "nk", F.coalesce("family", "nk").alias("family"))
     mixed = tables.write(_mixed(named))
-    many = F.col("members") * F.col("others") > BUCKET_PAIRS
-    second = mixed.filter(many).select("key", "nk", "family").join(bands(nodes).withColumnRenamed("key", "band"), "nk").filter("band <> key")
-    longer = _mixed(second.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "nk", "family").distinct())
-    rows = mixed.filter(~many).unionByName(longer).withColumn("parts", F.ceil(F.col("members") / BLOCK_ROWS).cast("int"))
+    rows = mixed.withColumn("parts", F.ceil(F.col("members") / BLOCK_ROWS).cast("int"))
     rows = _grid(rows.select("key", "nk", "family", "main", "parts")).join(nodes.select("nk", "n", "regs"), "nk")
     return _blockwise(rows, ["key", "i", "j"], kin_inside, percent)
 
