@@ -32,7 +32,8 @@ DOCS = "bucket int, block int, doc_id long, at long, n_tokens long, ids_crc32 lo
 #: Bytes of texts encoded at once.
 CHUNK_BYTES = 4 << 20
 # Marks that often follow a word, and capitals whose lower case depends on what follows or is two letters.
-MARKS, ODD_CASE = frozenset(",.;:!?"), frozenset("Σİ")
+_MARKS = ",.;:!?"
+MARKS, ODD_CASE = frozenset(_MARKS), frozenset("Σİ")
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -59,7 +60,7 @@ class WordEncoder:
 
     The tokenizer splits at white space before it merges, so a text's ids are its words' ids in order. Words are cut at
     spaces and newlines only; rarer white space stays inside a word and is left to the tokenizer. Arrow numbers the
-    distinct words of a chunk of texts, and a chunk's ids are gathered from the words' ids at once. The memory of words is
+    distinct words of a chunk of texts, parts them into stems and marks, and a chunk's ids are gathered from theirs at once. The memory of words is
     bounded: once it holds ``most`` of them a new one begins, and the old one serves until the next change.
     """
 
@@ -85,6 +86,8 @@ class WordEncoder:
         parts, known, old = {}, self.known, self.old
         known.update((w, old[w]) for w in words if w in old)
         words = [w for w in words if w not in known] if old else words
+        self._encode(self.light, [w for w in words if w.isascii() and w.isalpha() and w.islower()])
+        words = [w for w in words if w not in known]
         for w in words:
             letters, mark = (w[:-1], w[-1]) if w[-1] in MARKS else (w, "")
             if letters.isalpha() and (letters.isascii() or (is_normalized("NFC", letters) and not ODD_CASE.intersection(letters))):
@@ -113,13 +116,22 @@ class WordEncoder:
             self.known, self.old = dict(self.fixed), self.known
         known, cut = self.known, pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        # Words of ASCII letters are lowered and parted from their mark before they are looked up.
+        plain = pc.match_substring_regex(coded.dictionary, f"^[A-Za-z]+[{_MARKS}]?$")
+        stems = pc.if_else(plain, pc.ascii_lower(pc.ascii_rtrim(coded.dictionary, characters=_MARKS)), coded.dictionary).dictionary_encode()
+        marks = pc.index_in(pc.if_else(plain, pc.utf8_slice_codeunits(coded.dictionary, -1), ""), value_set=pa.array(list(_MARKS)))
+        words = stems.dictionary.to_pylist()
         self.learn([w for w in words if w not in known])
-        each = [known[w] for w in words]
+        each = [known[w] for w in [*words, *_MARKS]]
         each.append(np.array([end_id], "<u4").tobytes())
         ids, sizes = np.frombuffer(b"".join(each), "<u4"), np.array([len(x) for x in each]) // 4
         ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
-        number = np.insert(coded.indices.to_numpy(), ends, len(words))
+        # A word is its stem's number and its mark's, or -1 without one.
+        pairs = np.stack((stems.indices.to_numpy(), pc.add(pc.fill_null(marks, -1 - len(words)), len(words)).to_numpy(zero_copy_only=False)), axis=1)
+        number = pairs[coded.indices.to_numpy()].ravel()
+        used = number >= 0
+        ends = np.concatenate(([0], np.cumsum(used)))[2 * ends]
+        number = np.insert(number[used], ends, len(each) - 1)
         size = sizes[number]
         after = np.cumsum(size)
         place = np.repeat((np.cumsum(sizes) - sizes)[number] - (after - size), size)

@@ -7,10 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.llm import arc_warc, decontaminate, html_crf, hyperminhash, imatch, mixing, reply_trees, suffix_dedup, token_store, toxicity
+from gleanery.storage import Tables
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, size string, a int"
@@ -392,6 +394,20 @@ def test_every_pair_of_families_in_a_bucket_is_compared():
     assert {frozenset(x) for x in hyperminhash.kin_inside(rows, 75)} == {frozenset((bytes([20]), bytes([40])))}
 
 
+def test_hyperminhash_compares_all_families_of_a_crowded_bucket(spark):
+    """A pair that shares this bucket only; with its 1002 members, the bucket has over a million pairs."""
+    g = np.random.default_rng(1)
+    regs = g.integers(0, 60_000, (1002, hyperminhash.REGISTERS)).astype(np.uint16)
+    regs[1] = regs[0]
+    regs[1, :: hyperminhash.BAND] += 1
+    rows = [(bytes([*k.to_bytes(4, "big")]), k, 500, r.tobytes()) for k, r in enumerate(regs)]
+    nodes = spark.createDataFrame(rows, "nk binary, doc_id long, n long, regs binary")
+    hits = nodes.select(F.lit(7).cast("long").alias("key"), "nk")
+    family = spark.createDataFrame([], "nk binary, family binary")
+    got = hyperminhash._between(hits, family, nodes, Tables(spark, "between"), 75).collect()
+    assert {frozenset(map(bytes, r)) for r in got} == {frozenset((rows[0][0], rows[1][0]))}
+
+
 def test_hyperminhash_estimates():
     r = np.random.default_rng(1)
     off = []
@@ -414,6 +430,23 @@ def test_packing_round_trip(bits):
         assert (token_store.unpack(raw, bits, a, b) == ids[a:b]).all()
 
 
+def test_words_are_parted_from_marks_before_they_are_encoded(monkeypatch):
+    """Case and marks make no new words; what the tokenizer treats in another way is left to it."""
+    from tokenizers import Tokenizer
+
+    from gleanery.llm.queries import tokenizer_path
+
+    texts = ["", None, "A", "a,", ",", "Foo, foo. FOO! foo?? x?y?", "H\u0331. I\u0307, <|STARTOFTEXT|> <|endoftext|>,", "it's. IT'S, É, é, ÉCOLE. Σ, ΑΣ.", "don't; 12, a1. a,b,", " \n\n x\n", "\t", "K. ﬁ. ẞ! Straße;"]
+    enc, t, at, asked = token_store.WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path()), 0, []
+    learn = enc.learn
+    monkeypatch.setattr(enc, "learn", lambda words: (asked.extend(words), learn(words)))
+    ids, after = enc.encode(pa.array(texts), 2)
+    for text, end in zip(texts, after.tolist(), strict=True):
+        assert ids[at:end].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 2], text
+        at = end
+    assert at == len(ids) and [w for w in asked if w.lower().startswith("foo")] == ["foo", "foo??"]
+
+
 def test_token_store(spark, docs):
     from tokenizers import Tokenizer
 
