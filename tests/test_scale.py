@@ -219,3 +219,67 @@ def test_bracket_candidates_at_equal_times(spark):
     rows = [asset("a", 0), asset("b", 0), asset("c", 100), asset("d", 115), asset("e", 131), asset("f", 500), asset("v", 501, media_type="video")]
     got = {r.key for r in sessions.bracket_candidates(spark.createDataFrame(rows, asset_schema())).collect()}
     assert got == {"a", "b", "c", "d"}
+
+
+def dense(seed, n, kinds, width=6):
+    """A block of an hour and the hour before: ``n`` rows with the prints of ``kinds``, and rows that nothing is near."""
+    g = np.random.default_rng(seed)
+    every = g.normal(size=(kinds, width)) * 0.2
+    number = g.integers(0, kinds, n)
+    vectors = every[number].astype(np.float32).astype(np.float64)
+    vectors[::50] += 100 * (1 + np.arange(len(vectors[::50])))[:, None]
+    number[::50] = -1 - np.arange(len(number[::50]))
+    ts = g.integers(0, 7200, n) * US
+    return number, ts, np.where(ts >= 3600 * US, pairs._BOTH, pairs._LEFT), vectors
+
+
+@pytest.mark.parametrize(("kinds", "width", "steps"), [(80, 6, ((3, 0.45), (120, 0.35), (3600, 0.25))), (5000, 3, ((3, 0.2), (120, 0.1), (3600, 0.04))), (600, 5, ((3, 0.1), (120, 0.3), (3600, 0.05)))])
+def test_links_of_a_crowded_block_join_what_edges_join(kinds, width, steps):
+    number, ts, roles, vectors = dense(kinds, 1500, kinds, width)
+    near, window = NearConfig(steps=steps), 3600 * US
+    # As link_classes does: equal prints of an hour have one head, and are sure.
+    classes = {}
+    for i, x in enumerate(zip(number.tolist(), (ts // window).tolist(), strict=True)):
+        classes.setdefault(x, []).append(i)
+    head, sure = np.array([f"k{i:05d}" for i in range(len(ts))], object), np.zeros(len(ts), bool)
+    for members in classes.values():
+        head[members], sure[members] = head[members[0]], len(members) > 1
+    row = np.arange(len(ts)).astype(str).astype(object)
+
+    def joined(found, start):
+        root, top = start.copy(), Counter()
+        for a, b, *_ in found:
+            pairs._unite(root, a, b)
+        for i in np.flatnonzero(sure):
+            top[root[i]] = 1.0
+        for a, _, _, _, margin in found:
+            for x, m in zip(root[a].tolist(), margin.tolist(), strict=True):
+                top[x] = max(top[x], m)
+        return root.tolist(), dict(top)
+
+    _, at, of = np.unique(head, return_index=True, return_inverse=True)
+    want = joined(list(pairs.tile_edges(row, ts, roles, vectors, window, near)), at[of])
+    got = joined(list(pairs.tile_links(head, ts, roles | np.where(sure, pairs._SURE, 0), vectors, window, near)), at[of])
+    assert got == want and 10 < len(set(got[0])) < 1450
+
+
+def test_a_crowded_block_is_not_compared_in_pairs(monkeypatch):
+    """Rows that are joined with each other need a strip of distances, not one to each of the others."""
+    number, ts, roles, vectors = dense(1, 4000, 60)
+    seen = []
+    strips = pairs._strips
+    monkeypatch.setattr(pairs, "_strips", lambda keys, *more: seen.append(len(keys)) or strips(keys, *more))
+    head = np.array([f"k{x:05d}" for x in number], object)
+    list(pairs.tile_links(head, ts, roles | pairs._SURE, vectors, 3600 * US, NearConfig()))
+    assert sum(seen) == 0
+
+
+def test_a_path_of_many_nodes_and_a_star_around_its_greatest(spark):
+    from gleanery.operators.components import connected_components
+
+    r = random.Random(8)
+    names = list(range(60))
+    r.shuffle(names)
+    edges = [*zip(names, names[1:], strict=False), *((999, 100 + i) for i in range(50)), (2000, 2001)]
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {**dict.fromkeys(range(60), 0), **dict.fromkeys([*range(100, 150), 999], 100), 2000: 2000, 2001: 2000}
