@@ -283,3 +283,27 @@ def test_a_path_of_many_nodes_and_a_star_around_its_greatest(spark):
     edges = [*zip(names, names[1:], strict=False), *((999, 100 + i) for i in range(50)), (2000, 2001)]
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {**dict.fromkeys(range(60), 0), **dict.fromkeys([*range(100, 150), 999], 100), 2000: 2000, 2001: 2000}
+
+
+def sent(rows, window_us=3600 * US):
+    """The rows of all blocks that have something to compare, as their workers see them."""
+
+    def count(keys, *_):
+        yield np.zeros(1, int), np.zeros(1, int), np.array([len(keys)]), np.zeros(1), np.zeros(1)
+
+    return pairs._in_blocks(rows, ["library_id", "session_id"], window_us, NearConfig(), count)
+
+
+def test_a_crowded_bucket_is_sent_once(spark):
+    """5,000 rows of an hour are one tile: they were nine, and each row was in six of them."""
+    rows = spark.range(5000).selectExpr("'l' as library_id", "0L as session_id", "concat('k', id) as key", "id * 700000 as ts_us", "2 as revision", "'c' as crop", "array(cast(id as float), 1.0f) as vector")
+    assert sum(r.gap_us for r in sent(rows).collect()) == 5000
+    assert pairs._strip(100) == pairs._STRIP and pairs._strip(2 * pairs.TILE) * 2 * pairs.TILE <= pairs._CELLS
+
+
+def test_rows_of_blocks_are_shuffled_once(spark):
+    """Only buckets that must be split have sizes to join, and they are few; so no join shuffles the vectors."""
+    rows = [("l", 0, f"k{i}", i * 60 * US, 2, "c", [float(i)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "library_id string, session_id long, key string, ts_us long, revision int, crop string, vector array<float>")
+    plan = sent(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
