@@ -307,3 +307,27 @@ def test_rows_of_blocks_are_shuffled_once(spark):
     df = spark.createDataFrame(rows, "library_id string, session_id long, key string, ts_us long, revision int, crop string, vector array<float>")
     plan = sent(df)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_vectors_are_written_once(spark, monkeypatch):
+    """Classes are found by marks of the prints; before, the vectors were shuffled, sorted and written for them too."""
+    from tests.test_groups import asset
+    from gleanery.sources.assets import asset_schema
+
+    seen, write = [], Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, df, *more: seen.append(df.schema.simpleString()) or write(self, df, *more))
+    rows = [asset(f"k{i}", 10 * i, fingerprint=(2, "scaleFill", [float(i % 2), 1.0])) for i in range(6)]
+    members = groups.make_members(spark.createDataFrame(rows, asset_schema())).collect()
+    assert len({r.seed for r in members if r.kind == "nearDuplicate"}) == 2 and len(members) == 6
+    assert sum("vector" in s for s in seen) == 1
+
+
+@pytest.mark.parametrize("number", ["float", "double"])
+def test_marks_tell_prints_apart(spark, number):
+    inf, nan = float("inf"), float("nan")
+    vectors = [[1.0, 2.0], [2.0, 1.0], [0.0, 1.0], [-0.0, 1.0], [1.0], [inf, 1.0], [1.0, -inf], [nan, 1.0], [None, 1.0], [1.0, None], [], None]
+    rows = [(i, (2, "c", v)) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, f"i int, fingerprint struct<revision:int,crop:string,vector:array<{number}>>")
+    marks = [r.m for r in df.select("i", pairs.print_mark().alias("m")).orderBy("i").collect()]
+    assert [m and m.finite for m in marks] == [True] * 5 + [False] * 5 + [None] * 2
+    assert marks[2] == marks[3] and len({(m.hash, m.width) for m in marks[:5]}) == len({(m.more, m.width) for m in marks[:5]}) == 4
