@@ -331,3 +331,52 @@ def test_marks_tell_prints_apart(spark, number):
     marks = [r.m for r in df.select("i", pairs.print_mark().alias("m")).orderBy("i").collect()]
     assert [m and m.finite for m in marks] == [True] * 5 + [False] * 5 + [None] * 2
     assert marks[2] == marks[3] and len({(m.hash, m.width) for m in marks[:5]}) == len({(m.more, m.width) for m in marks[:5]}) == 4
+
+
+def manhattan(x, y):
+    return abs(x - y).cumsum(axis=1)[:, -1]
+
+
+def test_far_prints_get_no_distance(monkeypatch):
+    """A metric sees vectors once, however many rows have them, and only those its bound leaves; it saw every pair of rows."""
+    g = np.random.default_rng(2)
+    n, every = 3000, g.normal(size=(300, 16)).astype(np.float32).astype(np.float64)
+    ts, seen = g.integers(0, 7200, n) * US, []
+    exact = lambda x, y: (seen.append(len(x)), manhattan(x, y))[1]
+    near = NearConfig(steps=((3, 9.0), (3600, 7.0)))
+    block = np.arange(n).astype(str).astype(object), ts, np.where(ts >= 3600 * US, pairs._BOTH, pairs._LEFT), every[g.integers(0, 300, n)]
+    for metric in (exact, pairs.Bounded(exact, pairs.least_manhattan)):
+        seen.clear()
+        edges = sum(len(x[0]) for x in pairs.tile_edges(*block, 3600 * US, near, metric))
+        assert edges > 5_000 and sum(seen) < n * n / (10 if metric is exact else 100)
+
+
+@pytest.mark.parametrize("kinds", [1, 40, 5000])
+def test_distinct_vectors_give_the_pairs_of_all_rows(monkeypatch, kinds):
+    monkeypatch.setattr(pairs, "_AT_ONCE", 300)
+    monkeypatch.setattr(pairs, "_strip", lambda others: 16)
+    number, ts, roles, vectors = dense(kinds, 400, kinds)
+    vectors[3], vectors[4], vectors[5, 0], vectors[6] = np.inf, -np.inf, np.nan, -0.0
+    roles[::9], ts[::7] = pairs._RIGHT, ts[0]
+    keys = np.array([f"k{i % 390:03d}" for i in range(400)], object)
+    near, window = NearConfig(steps=((3, 0.9), (120, 0.3), (600, 0.7), (3600, 0.5))), 3600 * US
+    rows = lambda: Counter((int(a), int(b), int(gap), float(d), float(m)) for x in pairs.tile_edges(keys, ts, roles, vectors, window, near, metric) for a, b, gap, d, m in zip(*x, strict=True))  # noqa: E731, B023
+    for metric in (manhattan, pairs.Bounded(manhattan, pairs.least_manhattan)):
+        got = rows()
+        monkeypatch.setattr(pairs, "_FEW", 10**9)
+        assert got == rows() and len(got) > 100
+        monkeypatch.setattr(pairs, "_FEW", 0)
+
+
+@pytest.mark.parametrize("width", [1, 64, 2000])
+def test_a_bound_is_never_above_the_distance(width):
+    g = np.random.default_rng(width)
+    x, y = g.normal(size=(40, width)), g.normal(size=(50, width))
+    x[1], x[2], y[3], y[4] = x[0], 0, 1000 * y[3], x[0] + 1e-7
+    least, want = pairs.least_manhattan(x, y), np.abs(x[:, None] - y[None]).sum(axis=2)
+    assert (least <= want).all()
+    assert np.delete(want - least, 3, axis=1).max() < (0.02 if width < 2000 else 0.001) * width * 1.2
+    x[5, 0], y[6, 0] = np.inf, np.nan
+    least = pairs.least_manhattan(x, y)
+    assert (least[5] == -np.inf).all() and (least[:, 6] == -np.inf).all() and np.isfinite(np.delete(least[:5], 6, axis=1)).all()
+    assert (pairs.least_manhattan(np.zeros((2, width)), np.zeros((3, width))) <= 0).all()
