@@ -380,3 +380,18 @@ def test_a_bound_is_never_above_the_distance(width):
     least = pairs.least_manhattan(x, y)
     assert (least[5] == -np.inf).all() and (least[:, 6] == -np.inf).all() and np.isfinite(np.delete(least[:5], 6, axis=1)).all()
     assert (pairs.least_manhattan(np.zeros((2, width)), np.zeros((3, width))) <= 0).all()
+
+
+def test_live_components_take_stars_not_all_edges(spark, tmp_path, monkeypatch):
+    """300 copies of one time are 44,850 edges, and 299 links; the components are the same."""
+    from gleanery.plans import registry
+
+    for name in ("documents", "embeddings"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    n = spark.read.parquet(f"{tmp_path}/embeddings.parquet").count()
+    spark.range(1, 301).selectExpr(f"id * {n} as event_id", "timestamp_micros(1704067200000000 + id) as ts", "0L as user_id", "'view' as event_type", "1.0d as value").write.parquet(f"{tmp_path}/events.parquet")
+    added, real = [], registry.LiveComponents.add
+    monkeypatch.setattr(registry.LiveComponents, "add", lambda self, edges, batch: added.append(edges.count()) or real(self, edges, batch))
+    assert entry.queries()["near_duplicate_edges"](spark, str(tmp_path)).count() > 40_000
+    got = {r.node: r.component for r in entry.queries()["live_components"](spark, str(tmp_path)).collect()}
+    assert len(got) > 280 and set(got.values()) == {min(got)} and sum(added) == len(got) - 1
