@@ -395,3 +395,11 @@ def test_live_components_take_stars_not_all_edges(spark, tmp_path, monkeypatch):
     assert entry.queries()["near_duplicate_edges"](spark, str(tmp_path)).count() > 40_000
     got = {r.node: r.component for r in entry.queries()["live_components"](spark, str(tmp_path)).collect()}
     assert len(got) > 280 and set(got.values()) == {min(got)} and sum(added) == len(got) - 1
+
+
+def test_pairs_of_few_rows_are_made_by_all_tasks(spark):
+    """Rows of a few kilobytes were merged to one task, however many pairs they make."""
+    rows = spark.range(400).selectExpr("'l' as library_id", "0L as session_id", "concat('k', id) as key", "id * 600000000 as ts_us")
+    made = pairs.pairs_in_window(rows, 3600 * US, ["library_id", "session_id"])
+    assert made.count() == 400 * 6 - 21
+    assert made.select(F.spark_partition_id().alias("at")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
